@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from good and from bad labelled text. Each
-text is compressed piece by piece against both, whole; the normalised difference
-of the sizes, calibrated by a logistic curve, is its score.
+Two zstandard dictionaries are trained on good and on bad labelled text. Each
+text is compressed piece by piece against both, whole; the difference of the
+sizes per byte of text, calibrated by a logistic curve, is its score. Short
+pieces keep repetitions inside a text from hiding the dictionaries' effect.
 
 Learning uses at most ``SAMPLE_ROWS`` labelled rows of each class, those with the
 lowest hash of their id among rows whose crc32(doc_id as text) mod 5 is not 0:
@@ -31,20 +32,20 @@ from loomstone.llm.langid import held_out
 from loomstone.llm.text_bytes import bounded
 
 SAMPLE_ROWS = 1500
-DICTIONARY_BYTES = 112 << 10
-PIECE = 2048
+DICTIONARY_BYTES = 64 << 10
+PIECE = 256
 LEVEL = 3
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, score double"
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Content of a dictionary: an even share of every text, whole if they all fit."""
-    share = max(1, DICTIONARY_BYTES // max(1, len(texts)))
-    if sum(map(len, texts)) <= DICTIONARY_BYTES:
-        return b"".join(texts)
-    picked = b"".join(t[(len(t) - share) // 2 :][:share] if len(t) > share else t for t in texts)
-    return picked[-DICTIONARY_BYTES:]
+    """A trained dictionary; the last bytes of the texts where there are too few to train on."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[-DICTIONARY_BYTES:]
 
 
 @dataclass
@@ -61,7 +62,9 @@ class CompressionModel:
         options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         made = []
         for content in (self.good, self.bad):
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+            held = zstandard.ZstdCompressionDict(content) if len(content) >= 8 else None
+            if held is not None:
+                held.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(dict_data=held, **options))
         return made
 
@@ -71,13 +74,13 @@ class CompressionModel:
 
 
 def difference(text: bytes, compressors) -> float:
-    """(bad - good) / (bad + good) of the compressed sizes, summed over all pieces."""
+    """Compressed bytes that the good dictionary saves over the bad one, summed over all pieces, per byte of text."""
     good = bad = 0
     for start in range(0, len(text), PIECE):
         piece = text[start : start + PIECE]
         good += len(compressors[0].compress(piece))
         bad += len(compressors[1].compress(piece))
-    return (bad - good) / (bad + good) if text else 0.0
+    return (bad - good) / len(text) if text else 0.0
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import compression_quality, langid, license_scan, mixing, quality_rules, sstable, token_counts
+from loomstone.llm import compression_quality, decontam, langid, license_scan, minhash, mixing, quality_rules, sstable, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(_table(spark, sf_dir, "documents"))
 
 
+def _against_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,7 +34,9 @@ def queries() -> dict[str, Query]:
         "op2_token_shards": _over_documents(sstable.token_rows),
         "op3_license_scan": _over_documents(license_scan.scan),
         "op4_token_counts": _over_documents(token_counts.token_counts),
+        "op6_decontamination": _against_benchmark,
         "op7_source_mix": _over_documents(mixing.taken_rows),
+        "op8_near_duplicates": _over_documents(minhash.components),
         "op9_language_id": _over_documents(langid.predictions),
         "op10_quality_classifier": _with_labels,
     }
@@ -38,4 +44,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op7_source_mix": mixing.SQL}
+    return {
+        "op6_decontamination": decontam.SQL,
+        "op7_source_mix": mixing.SQL,
+        "op8_near_duplicates": minhash.SQL,
+    }
