@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import compression_quality, decontam, langid, license_scan, minhash, mixing, quality_rules, sstable, token_counts
+from loomstone.llm import compression_quality, decontam, langid, license_scan, minhash, mixing, quality_rules, sstable, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op2_token_shards": _over_documents(sstable.token_rows),
         "op3_license_scan": _over_documents(license_scan.scan),
         "op4_token_counts": _over_documents(token_counts.token_counts),
+        "op5_suffix_dedup": _over_documents(suffix_dedup.deduplicate),
         "op6_decontamination": _against_benchmark,
         "op7_source_mix": _over_documents(mixing.taken_rows),
         "op8_near_duplicates": _over_documents(minhash.components),
