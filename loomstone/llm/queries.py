@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,20 @@ def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return spark
+
+
 def queries() -> dict[str, Query]:
     """One query per operator, over whole tables."""
+    return {name: (lambda spark, sf_dir, query=query: query(ready(spark), sf_dir)) for name, query in _queries().items()}
+
+
+def _queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _over_documents(quality_rules.verdicts),
         "op2_token_shards": _over_documents(sstable.token_rows),
