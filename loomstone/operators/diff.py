@@ -21,3 +21,43 @@ def diff_versions(old: DataFrame, new: DataFrame, keys: list[str], value: str) -
         .when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     )
     return joined.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*keys, "kind", "old", "new")
+
+
+def range_diff(old: DataFrame, new: DataFrame, key: str, value: str, start=None, end=None, after=None) -> DataFrame:
+    """The difference inside a key range; both scans are cut first."""
+    from loomstone.operators.scan import in_range
+
+    inside = in_range(key, start, end, after)
+    return diff_versions(old.where(inside), new.where(inside), [key], value)
+
+
+def diff_page(old: DataFrame, new: DataFrame, key: str, value: str, limit: int, cursor=None):
+    """Rows of a page of the difference and the next cursor, by looking one row ahead; limit 0 gives the cursor back."""
+    from loomstone.operators.scan import Page
+
+    if limit <= 0:
+        return Page([], cursor)
+    got = range_diff(old, new, key, value, after=cursor).orderBy(key).limit(limit + 1).collect()
+    return Page(got[:limit], got[limit - 1][key] if len(got) > limit else None)
+
+
+def content_digest(rows: DataFrame) -> DataFrame:
+    """Row count and an order-free sum of row hashes: equal versions have equal digests whatever their files."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)]
+    return rows.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def pruned_diff(old: DataFrame, new: DataFrame, key: str, value: str, buckets: int = 1024) -> DataFrame:
+    """The difference, after key buckets of equal digests are dropped from both sides.
+
+    Digests are partial sums, so what moves for the comparison is one row per
+    bucket and task; only buckets that differ are joined.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    digest = lambda rows: rows.groupBy(bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64(key, F.coalesce(F.col(value).cast("string"), F.lit("\x00"))).cast("decimal(38,0)")).alias("digest")
+    )
+    a, b = digest(old), digest(new).withColumnsRenamed({"n": "n_b", "digest": "digest_b"})
+    differing = a.join(b, "bucket", "full_outer").where(~(F.col("n").eqNullSafe(F.col("n_b")) & F.col("digest").eqNullSafe(F.col("digest_b")))).select("bucket")
+    cut = lambda rows: rows.withColumn("bucket", bucket).join(F.broadcast(differing), "bucket", "left_semi").drop("bucket")
+    return diff_versions(cut(old), cut(new), [key], value)
