@@ -81,4 +81,4 @@ def normalized_tokens(text: Column) -> Column:
 
 def canonical_path(path: Column) -> Column:
     """A path with single slashes, one in front and none behind."""
-    return F.concat(F.lit("/"), F.trim(F.lit("/"), F.regexp_replace(path, "/+", "/")))
+    return F.concat(F.lit("/"), F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/")))
