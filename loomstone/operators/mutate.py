@@ -51,3 +51,29 @@ def apply_patch(base: DataFrame, patch: DataFrame, key: str, value: str) -> Data
 def compact_tombstones(rows: DataFrame, deleted: str = "deleted") -> DataFrame:
     """Turn soft deletes into real ones."""
     return rows.where(F.col(deleted).isNull()).drop(deleted)
+
+
+def build(entries: DataFrame, key: str, ordinal: str, partitions: int) -> DataFrame:
+    """A table from unsorted entries, in key ranges; of several entries of a key the last by ``ordinal`` stays."""
+    unique = last_write_wins(entries, [key], [ordinal]).drop(ordinal)
+    return unique.repartitionByRange(partitions, key).sortWithinPartitions(key)
+
+
+ORDINALS_PER_BLOCK = 100_000
+
+
+def build_sorted(entries: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """The same for sorted entries with whole-numbered ordinals; an entry below one before it is an error.
+
+    Order is judged within blocks of ordinals and between them: a running
+    greatest key over one row per block, so no task sees all entries.
+    """
+    from pyspark.sql import Window
+
+    blocks = entries.withColumn("_block", F.floor(F.col(ordinal) / ORDINALS_PER_BLOCK))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.groupBy("_block").agg(F.max(key).alias("_top")).select("_block", F.max("_top").over(earlier).alias("_before"))
+    within = Window.partitionBy("_block").orderBy(ordinal)
+    checked = blocks.join(before, "_block").withColumn("_last", F.coalesce(F.lag(key).over(within), F.col("_before")))
+    sorted_key = F.when(F.col(key) < F.col("_last"), F.raise_error(F.lit("entries aren't sorted"))).otherwise(F.col(key))
+    return last_write_wins(checked.withColumn(key, sorted_key).drop("_block", "_before", "_last"), [key], [ordinal]).drop(ordinal)

@@ -127,3 +127,51 @@ def nearest_in_cells(assigned: DataFrame, key: str, vec: str, model, query: list
     """Exact distances within the cells nearest to the query; all cells give the exact answer."""
     centers = sorted(range(len(model.clusterCenters())), key=lambda i: (sum((a - b) ** 2 for a, b in zip(model.clusterCenters()[i], query, strict=True)), i))
     return nearest(assigned.where(F.col("cell").isin(centers[:probes])), key, vec, query, k)
+
+
+def train_product_quantizer(vectors: DataFrame, vec: str, parts: int = 8, centroids: int = 256, seed: int = 7) -> list:
+    """One k-means model per slice of the dimensions."""
+    dimensions = len(vectors.select(vec).first()[0])
+    if dimensions % parts:
+        raise ValueError(f"{dimensions} dimensions don't divide by {parts}")
+    width = dimensions // parts
+    return [train_cells(vectors.select(F.slice(vec, 1 + p * width, width).alias(vec)), vec, centroids, seed) for p in range(parts)]
+
+
+def _nearest_centroid(part: Column, centers: Column) -> Column:
+    return F.array_min(F.transform(centers, lambda c, i: F.struct(squared_l2(part, c).alias("d"), i.alias("i"))))["i"]
+
+
+def encode_product(vectors: DataFrame, vec: str, models: list) -> DataFrame:
+    """Vectors with ``codes``: the nearest centroid of each slice, the lowest if it ties."""
+    width = len(models[0].clusterCenters()[0])
+    codes = []
+    for p, model in enumerate(models):
+        centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+        codes.append(_nearest_centroid(F.slice(vec, 1 + p * width, width), centers))
+    return vectors.withColumn("codes", F.array(*codes))
+
+
+def nearest_product(encoded: DataFrame, key: str, vec: str, models: list, query: list[float], k: int, rerank: int = 8) -> DataFrame:
+    """Approximate distances from a table per slice, then exact ones for the best k * rerank."""
+    width = len(models[0].clusterCenters()[0])
+    tables = []
+    for p, model in enumerate(models):
+        own = query[p * width : (p + 1) * width]
+        tables.append(F.array(*[F.lit(float(sum((a - b) ** 2 for a, b in zip(own, c, strict=True)))) for c in model.clusterCenters()]))
+    rough = sum((F.get(t, F.get("codes", F.lit(p))) for p, t in enumerate(tables)), F.lit(0.0))
+    best = encoded.select(key, vec, rough.alias("rough")).orderBy("rough", key).limit(k * rerank)
+    return nearest(best, key, vec, query, k)
+
+
+def nearest_composite(base: DataFrame, delta: DataFrame, removed: DataFrame, key: str, vec: str, query: list[float], k: int, metric: str = "l2") -> DataFrame:
+    """Search over an accelerated base and later changes: stale and removed rows of the base are hidden, the rest meets the delta's best."""
+    hidden = delta.select(key).unionByName(removed.select(key)).distinct()
+    old = nearest(base.join(hidden, key, "left_anti"), key, vec, query, k, metric)
+    return old.unionByName(nearest(delta, key, vec, query, k, metric)).orderBy("distance", key).limit(k)
+
+
+def context_of(found: DataFrame, texts: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """The texts of a search result as one string, nearest first; the result is bounded by its k."""
+    parts = F.array_sort(F.collect_list(F.struct("distance", key, text)))
+    return found.join(texts, key).agg(F.array_join(F.transform(parts, lambda p: p[text]), separator).alias("context"))

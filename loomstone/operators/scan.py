@@ -110,3 +110,16 @@ def stats(rows: DataFrame, key: Column, value: Column) -> DataFrame:
         F.count("*").alias("n_entries"),
         *[f(x).cast("long").alias(f"{n}_{m}_bytes") for x, n in ((k, "key"), (v, "value")) for f, m in ((F.min, "min"), (F.max, "max"), (F.sum, "total"))],
     )
+
+
+def visit(rows: DataFrame, key: str, handle, start: Any = None, end: Any = None, descending: bool = False) -> tuple[int, Any]:
+    """Hand rows of a range to a function in key order until it returns something; (rows visited, that).
+
+    Rows reach the driver one partition at a time.
+    """
+    n = 0
+    for row in scan(rows, key, start, end, descending=descending).toLocalIterator():
+        n += 1
+        if (stop := handle(row)) is not None:
+            return n, stop
+    return n, None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions import conditions, keys
+from loomstone.functions import conditions, keys, values
 from loomstone.operators import diff, history, index, integrity, merge, mutate, objects, proximity, scan, views
 from loomstone.plans.fixtures import base_version, left_version, right_version, table
 
@@ -392,6 +392,15 @@ def index_reverse(spark, sf_dir):
     return index.term_range(_segments(spark, sf_dir), descending=True).limit(40)
 
 
+@query("SELECT CASE WHEN c_custkey % 4 = 0 THEN 'MOVED' ELSE c_mktsegment END AS term, c_custkey AS pk, c_nationkey FROM customer")
+def index_maintained(spark, sf_dir):
+    """An index after its source changed, from the changes only."""
+    source, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    moved = source.where(key % 4 == 0)
+    after = index.build(moved.withColumn("c_mktsegment", F.lit("MOVED")), "c_custkey", F.col("c_mktsegment"), "c_nationkey")
+    return index.apply_diff(_segments(spark, sf_dir), index.build(moved, "c_custkey", F.col("c_mktsegment"), "c_nationkey"), after)
+
+
 @query("SELECT c_mktsegment AS term, c_custkey AS pk, c_nationkey FROM customer WHERE c_mktsegment > 'BUILDING' OR (c_mktsegment = 'BUILDING' AND c_custkey > 500) ORDER BY 1, 2 LIMIT 30")
 def index_page(spark, sf_dir):
     return index.page(_segments(spark, sf_dir), 30, ("BUILDING", 500))
@@ -562,6 +571,66 @@ def knn_cells(spark, sf_dir):
     return _rounded(proximity.nearest_in_cells(proximity.assign_cells(vectors, "embedding", model), "vec_id", "embedding", model, _query_vector(spark, sf_dir), 10, 4))
 
 
+@query(f"SELECT e.vec_id, round(list_sum({L2}), 9) + 0.0 AS distance FROM embeddings e, {QUERY} q WHERE e.vec_id % 10 <> 3 ORDER BY list_sum({L2}), 1 LIMIT 10")
+def knn_composite(spark, sf_dir):
+    """A base with stale and removed vectors under newer ones: the same as a clean rebuild."""
+    vectors, key = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id")
+    stale = vectors.withColumn("embedding", F.when(key % 10 == 1, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")))
+    removed = vectors.where(key % 10 == 3)
+    return _rounded(proximity.nearest_composite(stale, vectors.where(key % 10 == 1), removed, "vec_id", "embedding", _query_vector(spark, sf_dir), 10))
+
+
+@query()
+def knn_pq(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    models = proximity.train_product_quantizer(vectors, "embedding", 4, 16)
+    encoded = proximity.encode_product(vectors, "embedding", models)
+    return _rounded(proximity.nearest_product(encoded, "vec_id", "embedding", models, _query_vector(spark, sf_dir), 10))
+
+
+# loads and values
+
+
+@query("SELECT user_id AS k, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id")
+def build_entries(spark, sf_dir):
+    """Unsorted entries with repeated keys: the last of a key stays."""
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("o"), F.col("user_id").alias("k"), F.col("event_type").alias("v"))
+    return mutate.build(entries, "k", "o", 4)
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS v FROM orders")
+def build_sorted(spark, sf_dir):
+    entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    return mutate.build_sorted(entries, "k", "o")
+
+
+@query("SELECT doc_id AS key, sha256(text) AS value_sha FROM documents")
+def large_values(spark, sf_dir):
+    """Values over the threshold go through the blob table and come back."""
+    refs, blobs = values.split_large(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")))
+    return values.join_large(refs, blobs).select("key", F.sha2("value", 256).alias("value_sha"))
+
+
+@query("SELECT sha256(text) AS cid, octet_length(encode(text))::BIGINT AS n_bytes, count(*)::BIGINT AS n_refs FROM documents WHERE octet_length(encode(text)) > 4096 GROUP BY 1, 2")
+def large_value_refs(spark, sf_dir):
+    refs, _ = values.split_large(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value")))
+    return refs.where("cid IS NOT NULL").groupBy("cid", "n_bytes").agg(F.count("*").alias("n_refs"))
+
+
+@query("SELECT event_id, event_type, user_id FROM events")
+def json_round_trip(spark, sf_dir):
+    """Typed values through their JSON encoding."""
+    rows = table(spark, sf_dir, "events").select("event_id", values.encode_json(F.struct("event_type", "user_id")).alias("value"))
+    return rows.select("event_id", values.decode_json(F.col("value"), "event_type string, user_id bigint").alias("d")).select("event_id", "d.event_type", "d.user_id")
+
+
+@query("SELECT user_id, event_type AS value, epoch_us(ts) AS micros FROM events WHERE event_id < 500")
+def timestamped_values(spark, sf_dir):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").where("event_id < 500").select("user_id", values.with_timestamp(F.col("event_type"), micros).alias("s"))
+    return rows.select("user_id", values.bytes_of(F.col("s")).cast("string").alias("value"), values.timestamp_of(F.col("s")).alias("micros"))
+
+
 # history
 
 
