@@ -6,6 +6,8 @@ named by ``spark.checkpoint.dir`` and not on a worker's disk.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomstone-shared-")
+        own = tempfile.mkdtemp(prefix="loomstone-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.loomstone.sharedDir", named)
     return named.rstrip("/")
