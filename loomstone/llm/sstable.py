@@ -5,11 +5,11 @@ keys. A shard holds blocks of prefix-compressed entries, a sparse index with the
 first key of each block, a Bloom filter over document ids, and a footer, so that
 one document is found by two binary searches.
 
-    block    entries, then crc32 of them (4 bytes)
+    block    zstandard frame of entries, then crc32 of the frame (4 bytes)
     entry    varints: shared key bytes, other key bytes, value bytes; key rest; value
     key      00 for a null id, or 01 and the id as 8 bytes, sign flipped, big endian;
              then the entry's number in the shard, 8 bytes, so repeated ids stay apart
-    value    token ids, little-endian unsigned 32-bit
+    value    width of an id in bytes, 2 or 4 (one byte), then token ids, little-endian
     index    for each block: key length, key, offset, size, entries, ids before it
     footer   offsets and sizes of index and filter, entries, ids, magic
 
@@ -34,8 +34,9 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,17 @@ def _probes(key: bytes, bits: int) -> list[int]:
     return [(a + i * (b | 1)) % bits for i in range(BLOOM_HASHES)]
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones where they all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
+
+
+def unpack_ids(value: bytes) -> bytes:
+    """32-bit ids of a stored value."""
+    return np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes() if value[0] == 2 else value[1:]
+
+
 class ShardWriter:
     """Writes one shard; what it holds in memory is one block, the index and the ids."""
 
@@ -100,6 +112,7 @@ class ShardWriter:
         self.entries = self.tokens = self.in_block = self.before = 0
         self.block, self.first, self.last = bytearray(), b"", b""
         self.index, self.keys = bytearray(), []
+        self.compress = zstandard.ZstdCompressor(level=3).compress
 
     def add(self, doc_id: int | None, value: bytes) -> None:
         own = id_key(doc_id)
@@ -108,8 +121,8 @@ class ShardWriter:
         key = own + struct.pack(">Q", self.entries)
         if not self.in_block:
             self.first, self.last, self.before = key, b"", self.tokens
-        shared = len(os.path.commonprefix([self.last, key]))
-        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        shared, packed = len(os.path.commonprefix([self.last, key])), pack_ids(value)
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(packed)) + key[shared:] + packed
         self.last = key
         self.entries, self.in_block, self.tokens = self.entries + 1, self.in_block + 1, self.tokens + len(value) // 4
         if len(self.block) >= BLOCK_BYTES:
@@ -118,11 +131,11 @@ class ShardWriter:
     def _flush(self) -> None:
         if not self.in_block:
             return
-        self.block += struct.pack("<I", zlib.crc32(self.block))
-        self.out.write(bytes(self.block))
+        frame = self.compress(bytes(self.block))
+        self.out.write(frame + struct.pack("<I", zlib.crc32(frame)))
         self.index += struct.pack("<H", len(self.first)) + self.first
-        self.index += struct.pack("<QQQQ", self.offset, len(self.block), self.in_block, self.before)
-        self.offset += len(self.block)
+        self.index += struct.pack("<QQQQ", self.offset, len(frame) + 4, self.in_block, self.before)
+        self.offset += len(frame) + 4
         self.block, self.in_block = bytearray(), 0
 
     def finish(self) -> None:
@@ -163,6 +176,7 @@ class ShardReader:
         data = self.file.read_at(size, offset)
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"damaged block {number}")
+        data = zstandard.ZstdDecompressor().decompress(data[:-4])
         at, key = 0, b""
         for _ in range(count):
             shared, at = _read_varint(data, at)
@@ -170,7 +184,7 @@ class ShardReader:
             length, at = _read_varint(data, at)
             key = key[:shared] + data[at : at + other]
             at += other
-            yield key, data[at : at + length]
+            yield key, unpack_ids(data[at : at + length])
             at += length
 
     def scan(self) -> Iterator[tuple[int | None, int, bytes]]:
