@@ -53,6 +53,7 @@ CACHED_WORDS = 250_000
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+LATIN_CHUNK = re.compile(r"[a-zß-öø-ÿ]+(?=[ \t\n\r\x0b\x0c.,]|\Z)|[.,](?=[ \t\n\r\x0b\x0c]|\Z)|[^ \t\n\r\x0b\x0c]+")
 SHARD_SCHEMA = "shard int, path string, n_docs long, n_tokens long"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -212,34 +213,68 @@ class ShardReader:
 class WordEncoder:
     """Ids of texts by the tokenizers library, one library call for many new words.
 
-    The tokenizer drops white space and treats what lies between separately, so
-    a text's ids are those of its space-separated chunks one after another. Ids
-    of chunks are cached, up to a bound.
+    The tokenizer drops white space, lower-cases, and treats runs of letters and
+    what lies between them separately, so a text's ids are those of its chunks one
+    after another. Chunks end at ASCII white space, and in Latin-1 texts, which
+    are lower-cased first, also between letters and a full stop or comma. Ids of
+    chunks are cached in two generations, each of bounded size.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
+        self.ends_word = np.zeros(1 << 20, bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
+
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        """Parts of a text that can be encoded on their own."""
+        if not text:
+            return []
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return CHUNK.findall(text)
+            return LATIN_CHUNK.findall(text.lower())
+        return CHUNK.findall(text)
 
     def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            # A run of letters ends with one word-ending piece; if the counts differ, offsets decide.
+            if len(cuts) == len(part):
+                self._store(part, ids, np.concatenate(([0], cuts)))
+            else:
+                self._learn_by_offsets(part)
+        self._learn_by_offsets([w for w in words if not w.isalpha()])
+
+    def _learn_by_offsets(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
             encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype="<u4")
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            begins = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(begins, starts)
-            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+            begins = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(encoding.ids))
+            self._store(part, np.array(encoding.ids, dtype="<u4"), np.searchsorted(begins, starts))
+
+    def _store(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (cuts * 4).tolist()
+        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes, without the end id."""
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        split = [CHUNK.findall(t) if t else [] for t in texts]
-        self._learn(sorted(set(chain.from_iterable(split)).difference(self.cache)))
+            self.cache, self.older = {}, self.cache
+        split = [self.chunks(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.cache)
+        known = new & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
+        self._learn(sorted(new - known))
         ids = self.cache.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
