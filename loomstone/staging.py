@@ -41,7 +41,7 @@ class Staged:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
