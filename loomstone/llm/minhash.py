@@ -7,15 +7,19 @@
    dropped. Of its coordinates, rarest list first, a class keeps the first
    COORDINATES - MATCHES + 1: classes that agree in MATCHES coordinates or more
    share a kept one, so the longest lists are skipped.
-3. In each list, classes pair with the list's first class, later with its last.
-   Pairs whose signatures agree often enough are confirmed on the full sets,
-   and confirmed links merge classes into components. Then only classes of
-   different components that still share a list pair up, the smaller component's
-   against the larger's, so a large group of near copies is never paired within.
+3. In each list, classes pair with one leader: the class that shares the most
+   list places overall, in a second round one picked by hash. Pairs whose
+   signatures agree often enough are confirmed on the full sets, and confirmed
+   links merge classes into components. Of lists that still hold several
+   components, only classes remain of whose shingles three quarters or more also
+   occur in another component, as no other can have a link to one. They pair up
+   across components, the smaller component's against the larger's, so neither a
+   large group of near copies nor texts that merely share a passage are paired
+   within.
 4. Components take the smallest doc_id that they hold.
 
 A link at similarity 0.75 agrees in 36 of 48 coordinates on average and is
-missed with a probability under 1e-7 (fewer than 18). Sets hold 64-bit hashes.
+missed with a probability under 1e-6 (fewer than 20). Sets hold 64-bit hashes.
 
 Defined results: null texts and texts without words have an empty set and stay
 alone; a text of fewer than five words has one shingle; rows that repeat an id
@@ -38,8 +42,9 @@ from loomstone.staging import Staged
 
 SHINGLE = 5
 COORDINATES = 48
-MATCHES = 18
+MATCHES = 20
 PERCENT = 75
+ROUNDS = 2
 BROADCAST_ROWS = 200_000
 
 WORD_BYTE = np.ones(256, bool)
@@ -155,15 +160,22 @@ def connected(edges: DataFrame, name: str) -> Staged:
 
 
 def _prefix_postings(classes: DataFrame) -> DataFrame:
-    """(cls, n, j, v, first, last) of the rarest shared coordinates of each class; first and last class of each list."""
+    """(cls, n, reach, j, v) of the rarest shared coordinates of each class; reach is the sum of its lists' sizes."""
     posted = classes.select("cls", "n", F.posexplode("sig").alias("j", "v"))
-    lists = posted.groupBy("j", "v").agg(F.count("*").alias("size"), F.min("cls").alias("first"), F.max("cls").alias("last")).where("size > 1")
+    lists = posted.groupBy("j", "v").agg(F.count("*").alias("size")).where("size > 1")
     shared = posted.join(lists, ["j", "v"])
-    ranked = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("size", "j", "v", "first", "last"))).alias("lists"))
+    ranked = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("size", "j", "v"))).alias("lists"), F.sum("size").alias("reach"))
     # Lists of one class come first in the order and are full of nothing; only what is left of the prefix is kept.
     keep = F.size("lists") - (MATCHES - 1)
-    kept = ranked.where(keep > 0).select("cls", "n", F.inline(F.slice("lists", F.lit(1), keep)))
-    return kept.select("cls", "n", "j", "v", "first", "last")
+    return ranked.where(keep > 0).select("cls", "n", "reach", F.inline(F.slice("lists", F.lit(1), keep))).drop("size")
+
+
+def _with_leaders(postings: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a class and the leader of one of its lists."""
+    rank = F.col("reach") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    leaders = postings.groupBy("j", "v").agg(F.max_by("cls", F.struct(rank.alias("rank"), F.col("cls"))).alias("leader"))
+    led = postings.join(leaders, ["j", "v"]).where(F.col("cls") != F.col("leader"))
+    return led.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
 
 
 class _Confirmer:
@@ -179,23 +191,46 @@ class _Confirmer:
         near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (agree >= MATCHES)
         likely = Staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b", "doc_a", "key_a", "doc_b", "key_b"), f"{name}-likely")
         ends = likely.df.select(F.col("doc_a").alias("doc_id"), F.col("key_a").alias("text_key"))
-        ends = Staged(ends.union(likely.df.select("doc_b", "key_b")).distinct(), f"{name}-ends")
-        # Ids and keys are compared null-safely; what else they let through is dropped by class.
-        wanted = _few(ends.df.withColumnRenamed("doc_id", "want_id").withColumnRenamed("text_key", "want_key"))
-        texts = self.docs.join(wanted, self.docs["text_key"].eqNullSafe(wanted["want_key"]) & self.docs["doc_id"].eqNullSafe(wanted["want_id"]), "left_semi").select("text")
-        sets = Staged(texts.mapInArrow(_set_batches, "cls binary, shingles array<long>").where(F.col("cls").isNotNull()).dropDuplicates(["cls"]), f"{name}-sets")
+        sets = self.sets(ends.union(likely.df.select("doc_b", "key_b")).distinct(), name)
         a, b = (sets.df.select(F.col("cls").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         linked = likely.df.select("a", "b", "n_a", "n_b").join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", common.alias("common"))
         links = Staged(linked.where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), f"{name}-links")
-        for table in (likely, ends, sets):
+        for table in (likely, sets):
             table.drop()
         return links
 
+    def sets(self, ends: DataFrame, name: str) -> Staged:
+        """Full sets (cls, shingles) of the classes that stand in the given places (doc_id, text_key)."""
+        ends = Staged(ends, f"{name}-ends")
+        # Ids and keys are compared null-safely; what else they let through is dropped by class.
+        wanted = _few(ends.df.withColumnRenamed("doc_id", "want_id").withColumnRenamed("text_key", "want_key"))
+        texts = self.docs.join(wanted, self.docs["text_key"].eqNullSafe(wanted["want_key"]) & self.docs["doc_id"].eqNullSafe(wanted["want_id"]), "left_semi").select("text")
+        found = texts.mapInArrow(_set_batches, "cls binary, shingles array<long>").where(F.col("cls").isNotNull())
+        sets = Staged(found.dropDuplicates(["cls"]), f"{name}-sets")
+        ends.drop()
+        return sets
+
+    def linkable(self, mixed: DataFrame) -> Staged:
+        """Classes of whose shingles so many occur in other components, too, that a link is possible."""
+        classes = Staged(mixed.select("cls", "comp").distinct(), "open-classes")
+        sets = self.sets(classes.df.join(self.classes, "cls").select("doc_id", "text_key"), "open")
+        each = classes.df.join(sets.df, "cls").select("cls", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+        across = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+        shared = each.join(across, "shingle", "left_semi").groupBy("cls", "n").agg(F.count("*").alias("shared"))
+        found = Staged(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("cls"), "linkable")
+        classes.drop()
+        sets.drop()
+        return found
+
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the component of their class, in lists that hold several components."""
-    named = postings.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = postings.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    return _several(named.withColumn("comp", F.coalesce("comp", "cls")))
+
+
+def _several(named: DataFrame) -> DataFrame:
     mixed = named.groupBy("j", "v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     return named.join(mixed.select("j", "v"), ["j", "v"])
 
@@ -222,22 +257,23 @@ def components(docs: DataFrame) -> DataFrame:
     classes = Staged(by_class.select("cls", "class_id", "n", "sig", "one.doc_id", "one.text_key"), "classes")
     postings = Staged(_prefix_postings(classes.df), "postings")
     confirm, links = _Confirmer(keyed, classes.df), []
-    current = postings.df.withColumn("comp", F.col("cls"))
-    labels = None
-    for end in ("first", "last", None):
-        if end:
-            pairs = current.where(F.col("cls") != F.col(end)).select(F.least("cls", end).alias("a"), F.greatest("cls", end).alias("b")).distinct()
+    current, labels = postings.df, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pairs = _with_leaders(current, turn)
         else:
-            pairs = _across(current)
-        links.append(confirm(pairs, f"round-{len(links)}"))
+            open_classes = confirm.linkable(current)
+            pairs = _across(_several(current.join(open_classes.df, "cls", "left_semi")))
+        links.append(confirm(pairs, f"round-{turn}"))
         edges = links[0].df
         for more in links[1:]:
             edges = edges.unionByName(more.df)
         if labels is not None:
             labels.drop()
         labels = connected(edges, "components")
-        if end:
+        if turn < ROUNDS:
             current = _labelled(postings.df, labels.df)
+    open_classes.drop()
     postings.drop()
     named = classes.df.select("cls", "class_id").join(labels.df, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
