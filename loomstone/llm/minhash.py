@@ -8,12 +8,13 @@
    COORDINATES - MATCHES + 1: classes that agree in MATCHES coordinates or more
    share a kept one, so the longest lists are skipped.
 3. In each list, classes pair with one leader: the class that shares the most
-   list places overall, in a second round one picked by hash. Pairs whose
+   list places overall, in later rounds one picked by hash for each list, so that
+   a class meets many members of the group that it may belong to. Pairs whose
    signatures agree often enough are confirmed on the full sets, and confirmed
    links merge classes into components. Of lists that still hold several
    components, only classes remain of whose shingles three quarters or more also
    occur in another component, as no other can have a link to one. They pair up
-   across components, the smaller component's against the larger's, so neither a
+   across components where such shingles are enough for a link, so neither a
    large group of near copies nor texts that merely share a passage are paired
    within.
 4. Components take the smallest doc_id that they hold.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.text_bytes import as_bytes, bounded, split_at
@@ -171,10 +172,11 @@ def _prefix_postings(classes: DataFrame) -> DataFrame:
 
 
 def _with_leaders(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a class and the leader of one of its lists."""
-    rank = F.col("reach") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-    leaders = postings.groupBy("j", "v").agg(F.max_by("cls", F.struct(rank.alias("rank"), F.col("cls"))).alias("leader"))
-    led = postings.join(leaders, ["j", "v"]).where(F.col("cls") != F.col("leader"))
+    """Pairs of a class and the leader of one of its lists, of another component."""
+    rank = F.col("reach") if turn == 0 else F.xxhash64("cls", "j", F.lit(turn))
+    order = F.struct(rank.alias("rank"), F.col("cls"))
+    leaders = postings.groupBy("j", "v").agg(F.max_by("cls", order).alias("leader"), F.max_by("comp", order).alias("led_by"))
+    led = postings.join(leaders, ["j", "v"]).where(F.col("comp") != F.col("led_by"))
     return led.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
 
 
@@ -190,6 +192,10 @@ class _Confirmer:
         agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
         near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (agree >= MATCHES)
         likely = Staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b", "doc_a", "key_a", "doc_b", "key_b"), f"{name}-likely")
+        if not likely.df.limit(1).count():
+            links = Staged(likely.df.select("a", "b"), f"{name}-links")
+            likely.drop()
+            return links
         ends = likely.df.select(F.col("doc_a").alias("doc_id"), F.col("key_a").alias("text_key"))
         sets = self.sets(ends.union(likely.df.select("doc_b", "key_b")).distinct(), name)
         a, b = (sets.df.select(F.col("cls").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -212,13 +218,13 @@ class _Confirmer:
         return sets
 
     def linkable(self, mixed: DataFrame) -> Staged:
-        """Classes of whose shingles so many occur in other components, too, that a link is possible."""
+        """Classes of whose shingles so many (``shared``) occur in other components, too, that a link is possible."""
         classes = Staged(mixed.select("cls", "comp").distinct(), "open-classes")
         sets = self.sets(classes.df.join(self.classes, "cls").select("doc_id", "text_key"), "open")
         each = classes.df.join(sets.df, "cls").select("cls", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
         across = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
         shared = each.join(across, "shingle", "left_semi").groupBy("cls", "n").agg(F.count("*").alias("shared"))
-        found = Staged(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("cls"), "linkable")
+        found = Staged(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("cls", "shared"), "linkable")
         classes.drop()
         sets.drop()
         return found
@@ -235,15 +241,29 @@ def _several(named: DataFrame) -> DataFrame:
     return named.join(mixed.select("j", "v"), ["j", "v"])
 
 
+def _possible(n_a: str, shared_a: str, n_b: str, shared_b: str) -> Column:
+    """Whether two sets can be alike enough: all that they have in common occurs in other components."""
+    common = F.least(shared_a, shared_b)
+    return 100 * common >= PERCENT * (F.col(n_a) + F.col(n_b) - common)
+
+
 def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs of classes of different components in one list, from the side of the smaller component."""
-    groups = mixed.groupBy("j", "v", "comp").agg(F.count("*").alias("size"))
-    sized = mixed.join(groups, ["j", "v", "comp"])
-    other = groups.select("j", "v", F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    """Pairs of classes of different components that share a list, from the side of the smaller component.
+
+    A class meets a component once, however many lists they share, and then its
+    members; the joins drop what the shared shingles can't make a link.
+    """
+    members = mixed.select("comp", "cls", "n", "shared").distinct()
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.max("shared").alias("most_shared"))
+    groups = mixed.select("j", "v", "comp").distinct().join(sizes, "comp")
+    sized = mixed.select("cls", "n", "shared", "comp", "j", "v").join(sizes.select("comp", "size"), "comp")
+    other = groups.select("j", "v", F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), "least_n", "most_shared")
     larger = (F.col("size_b") > F.col("size")) | ((F.col("size_b") == F.col("size")) & (F.col("comp_b") > F.col("comp")))
-    facing = sized.join(other, ["j", "v"]).where(larger).select(F.col("cls").alias("a"), "n", "j", "v", "comp_b")
-    members = mixed.select("j", "v", F.col("comp").alias("comp_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    pairs = facing.join(members, ["j", "v", "comp_b"]).where(100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
+    same_list = (sized["j"] == other["j"]) & (sized["v"] == other["v"])
+    facing = sized.join(other, same_list & larger & _possible("n", "shared", "least_n", "most_shared"))
+    facing = facing.select(F.col("cls").alias("a"), "n", "shared", "comp_b").distinct()
+    opposite = members.select(F.col("comp").alias("comp_of_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
+    pairs = facing.join(opposite, (F.col("comp_b") == F.col("comp_of_b")) & _possible("n", "shared", "n_b", "shared_b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -257,23 +277,32 @@ def components(docs: DataFrame) -> DataFrame:
     classes = Staged(by_class.select("cls", "class_id", "n", "sig", "one.doc_id", "one.text_key"), "classes")
     postings = Staged(_prefix_postings(classes.df), "postings")
     confirm, links = _Confirmer(keyed, classes.df), []
-    current, labels = postings.df, None
+    current = postings.df.withColumn("comp", F.col("cls"))
+    labels = mixed = open_classes = None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _with_leaders(current, turn)
         else:
             open_classes = confirm.linkable(current)
-            pairs = _across(_several(current.join(open_classes.df, "cls", "left_semi")))
+            pairs = _across(_several(current.join(open_classes.df, "cls")))
         links.append(confirm(pairs, f"round-{turn}"))
-        edges = links[0].df
-        for more in links[1:]:
-            edges = edges.unionByName(more.df)
-        if labels is not None:
-            labels.drop()
-        labels = connected(edges, "components")
-        if turn < ROUNDS:
-            current = _labelled(postings.df, labels.df)
-    open_classes.drop()
+        if labels is None or links[-1].df.limit(1).count():
+            edges = links[0].df
+            for more in links[1:]:
+                edges = edges.unionByName(more.df)
+            if labels is not None:
+                labels.drop()
+            labels = connected(edges, "components")
+            if turn < ROUNDS:
+                if mixed is not None:
+                    mixed.drop()
+                mixed = Staged(_labelled(postings.df, labels.df), "open-lists")
+                current = mixed.df
+        if mixed is None or not current.limit(1).count():
+            break
+    for table in (mixed, open_classes):
+        if table is not None:
+            table.drop()
     postings.drop()
     named = classes.df.select("cls", "class_id").join(labels.df, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
