@@ -4,7 +4,8 @@ The vocabulary is a trie in which every node has a failure link and the number
 of pieces that following it pops, computed once. Scanning a word then gives the
 number of its greedy word pieces without building them. Pieces that start a
 word and pieces that continue one are taken from a byte-level vocabulary: the
-former carry its space mark, the latter don't.
+former carry its space mark, the latter don't. The bare space mark is itself a
+piece: a word whose start no longer marked piece covers begins with it.
 
 Defined results: null and empty texts have no words and no tokens; a word that
 no sequence of pieces covers counts as one unknown token; whole texts are read
@@ -41,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
-    """Pieces that start a word, and pieces that continue one."""
+    """Pieces that start a word, the bare space mark as an empty one, and pieces that continue one."""
     with open(path, encoding="utf-8") as file:
         pieces = json.load(file)["model"]["vocab"]
     back = byte_alphabet()
@@ -50,7 +51,7 @@ def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
         if all(c in back for c in piece):
             begins = piece.startswith(SPACE_MARK)
             raw = bytes(back[c] for c in (piece[1:] if begins else piece))
-            if raw and not WORD.sub(b"", raw):
+            if (raw or begins) and not WORD.sub(b"", raw):
                 (first if begins else later).add(raw)
     return first, later
 
@@ -62,6 +63,7 @@ class LongestMatch:
     a node v that spells s, ``fail[v]`` is the node reached once the longest
     pieces have been popped off s until the rest is spelled by a later node, and
     ``popped[v]`` is their number; no link (-1) means that the word is unknown.
+    An empty first piece links node 0 to node 1.
     """
 
     def __init__(self, first: Iterable[bytes], later: Iterable[bytes]):
@@ -78,6 +80,8 @@ class LongestMatch:
                     node = self.next[node][byte]
                 final[node] = True
         self.fail, self.popped = [-1] * len(final), [0] * len(final)
+        if final[0]:
+            self.fail[0], self.popped[0] = 1, 1
         level = [0, 1]
         while level:
             below = []
