@@ -1,11 +1,12 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over lower-cased UTF-8 bytes, gated by keywords:
-one Aho-Corasick pass finds the keywords of a text and only rules whose keyword
-occurs are tried. Overlapping detections are resolved by priority: a detection
-that lies inside one of higher priority, or inside a longer one of the same
-priority, is suppressed. The four base phrases are counted beside the rules
-and are never suppressed.
+Rules are regular expressions over lower-cased UTF-8 bytes, gated by groups of
+keywords: one Aho-Corasick pass finds the keywords of a text and only rules are
+tried of whose every group a keyword occurs. Whatever a rule's pattern matches
+holds a keyword of each of its groups. Overlapping detections are resolved by
+priority: a detection that lies inside one of higher priority, or inside a
+longer one of the same priority, is suppressed. The four base phrases are
+counted beside the rules and are never suppressed.
 
 Defined results: null and empty texts have no words, labels or places and
 score 0; texts are scanned whole; equal texts give equal rows; an empty table
@@ -34,11 +35,11 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# Label, name pattern, keyword that a name always holds, SPDX pattern, address pattern.
+# Label, name pattern, keywords of which a name always holds one (after |, of another alternative), SPDX pattern, address pattern.
 FAMILIES = (
     ("agpl", r"(?:gnu )?affero general public licen[cs]e", "affero", r"agpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/agpl"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "general public", r"lgpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/lgpl"),
-    ("gpl", r"(?:gnu )?general public licen[cs]e|gnu gpl", "g", r"gpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    ("gpl", r"(?:gnu )?general public licen[cs]e|gnu gpl", "general public|gnu gpl", r"gpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     ("gfdl", r"gnu free documentation licen[cs]e", "free documentation", r"gfdl-\d\.\d[-a-z]*", r"gnu\.org/licenses/fdl"),
     ("apache", r"apache (?:software )?licen[cs]e", "apache", r"apache-\d\.\d", r"apache\.org/licenses"),
     ("mit", r"(?:mit|expat|x11) licen[cs]e", "licen", r"mit(?:-0)?", r"opensource\.org/licenses?/mit"),
@@ -53,13 +54,13 @@ FAMILIES = (
     ("artistic", r"(?:perl )?artistic licen[cs]e", "artistic", r"artistic-\d\.\d", r"perlfoundation\.org/artistic"),
     ("unlicense", r"the unlicen[cs]e|unlicen[cs]e", "unlicen", r"unlicense", r"unlicense\.org"),
     ("wtfpl", r"do what the f\S+ you want to public licen[cs]e", "you want to", r"wtfpl", r"wtfpl\.net"),
-    ("cc-by-nc-nd", r"cc[ -]by[ -]nc[ -]nd|attribution-?noncommercial-?noderiv\w*", "n", r"cc-by-nc-nd-\d\.\d", r"creativecommons\.org/licenses/by-nc-nd"),
-    ("cc-by-nc-sa", r"cc[ -]by[ -]nc[ -]sa|attribution-?noncommercial-?sharealike", "n", r"cc-by-nc-sa-\d\.\d", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", r"cc[ -]by[ -]nc|attribution-?noncommercial", "n", r"cc-by-nc-\d\.\d", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", r"cc[ -]by[ -]nd|attribution-?noderiv\w*", "n", r"cc-by-nd-\d\.\d", r"creativecommons\.org/licenses/by-nd"),
-    ("cc-by-sa", r"cc[ -]by[ -]sa|attribution-?sharealike", "a", r"cc-by-sa-\d\.\d", r"creativecommons\.org/licenses/by-sa"),
-    ("cc-by", r"cc[ -]by|creative commons attribution", "c", r"cc-by-\d\.\d", r"creativecommons\.org/licenses/by/"),
-    ("cc0", r"cc0(?: 1\.0)?(?: universal)?|creative commons zero", "c", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by-nc-nd", r"cc[ -]by[ -]nc[ -]nd|attribution-?noncommercial-?noderiv\w*", "cc|attribution", r"cc-by-nc-nd-\d\.\d", r"creativecommons\.org/licenses/by-nc-nd"),
+    ("cc-by-nc-sa", r"cc[ -]by[ -]nc[ -]sa|attribution-?noncommercial-?sharealike", "cc|attribution", r"cc-by-nc-sa-\d\.\d", r"creativecommons\.org/licenses/by-nc-sa"),
+    ("cc-by-nc", r"cc[ -]by[ -]nc|attribution-?noncommercial", "cc|attribution", r"cc-by-nc-\d\.\d", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", r"cc[ -]by[ -]nd|attribution-?noderiv\w*", "cc|attribution", r"cc-by-nd-\d\.\d", r"creativecommons\.org/licenses/by-nd"),
+    ("cc-by-sa", r"cc[ -]by[ -]sa|attribution-?sharealike", "cc|attribution", r"cc-by-sa-\d\.\d", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by", r"cc[ -]by|creative commons attribution", "cc|creative commons", r"cc-by-\d\.\d", r"creativecommons\.org/licenses/by/"),
+    ("cc0", r"cc0(?: 1\.0)?(?: universal)?|creative commons zero", "cc0|creative commons", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
     ("ofl", r"(?:sil )?open font licen[cs]e", "open font", r"ofl-\d\.\d", r"scripts\.sil\.org/ofl"),
     ("odbl", r"open database licen[cs]e", "open database", r"odbl-\d\.\d", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", r"open data commons attribution licen[cs]e", "open data commons", r"odc-by-\d\.\d", r"opendatacommons\.org/licenses/by"),
@@ -117,7 +118,7 @@ class Signature:
     label: str
     form: str
     pattern: str
-    keywords: tuple[str, ...]
+    keywords: tuple[tuple[str, ...], ...]
     priority: int
     confidence: float
 
@@ -127,11 +128,11 @@ def signature_rules() -> tuple[Signature, ...]:
     rules = []
     for label, name, keyword, spdx, address in FAMILIES:
         for form, around, form_keyword, priority, confidence in FORMS:
-            need = tuple(k for k in (keyword, form_keyword) if len(k) > 2) or ("licen" if "licen" in name else "cc",)
+            need = tuple(tuple(k.split("|")) for k in (keyword, form_keyword) if k)
             rules.append(Signature(label, form, around.replace("N", name), need, priority, confidence / 10))
-        rules.append(Signature(label, "spdx", SPDX.replace("S", spdx), ("spdx-license-identifier",), 7, 1.0))
-        rules.append(Signature(label, "address", address, (_address_keyword(address),), 6, 0.9))
-    rules += [Signature(label, "text", pattern, (key,), priority, c / 10) for label, pattern, key, priority, c in TEXTS]
+        rules.append(Signature(label, "spdx", SPDX.replace("S", spdx), (("spdx-license-identifier",),), 7, 1.0))
+        rules.append(Signature(label, "address", address, ((_address_keyword(address),),), 6, 0.9))
+    rules += [Signature(label, "text", pattern, ((key,),), priority, c / 10) for label, pattern, key, priority, c in TEXTS]
     return tuple(rules)
 
 
@@ -142,12 +143,16 @@ def _address_keyword(address: str) -> str:
 @lru_cache(maxsize=1)
 def _compiled():
     rules = signature_rules()
-    automaton, numbers = ahocorasick.Automaton(), {}
+    automaton, numbers, holding = ahocorasick.Automaton(), {}, {}
     for rule in rules:
-        for keyword in rule.keywords:
-            automaton.add_word(keyword, numbers.setdefault(keyword, len(numbers)))
+        for group in rule.keywords:
+            number = numbers.setdefault(group, len(numbers))
+            for keyword in group:
+                holding.setdefault(keyword, set()).add(number)
+    for keyword, groups in holding.items():
+        automaton.add_word(keyword, frozenset(groups))
     automaton.make_automaton()
-    gates = [frozenset(numbers[k] for k in r.keywords) for r in rules]
+    gates = [frozenset(numbers[group] for group in r.keywords) for r in rules]
     patterns = [re.compile(rb"(?<!" + _IN + rb")(?:" + r.pattern.encode("latin-1") + rb")(?!" + _IN + rb")") for r in rules]
     base = [(label, re.compile(rb"(?<!" + _IN + rb")(?=" + (_OUT + b"+").join(p.encode().split()) + rb"(?!" + _IN + rb"))"), p.split()[0].encode()) for p, label in BASE]
     return automaton, rules, gates, patterns, base
@@ -156,7 +161,7 @@ def _compiled():
 def detect(lowered: bytes) -> list[tuple[int, int, int]]:
     """Kept detections of one lower-cased text: (start, end, rule number), by start."""
     automaton, rules, gates, patterns, _ = _compiled()
-    seen = {number for _, number in automaton.iter(lowered.decode("latin-1"))}
+    seen = set().union(*{groups for _, groups in automaton.iter(lowered.decode("latin-1"))})
     if not seen:
         return []
     found = [(m.start(), m.end(), k) for k, gate in enumerate(gates) if gate <= seen for m in patterns[k].finditer(lowered)]
