@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 METRICS = ("l2", "cosine", "inner_product")
 EXACT_FLOOR, EXACT_SHARE = 4096, 0.01
+QUANTILE_ACCURACY = 10_000
 
 
 def _fold(pairs: Column) -> Column:
@@ -125,8 +126,9 @@ def assign_cells(vectors: DataFrame, vec: str, model) -> DataFrame:
 
 def nearest_in_cells(assigned: DataFrame, key: str, vec: str, model, query: list[float], k: int, probes: int) -> DataFrame:
     """Exact distances within the cells nearest to the query; all cells give the exact answer."""
-    centers = sorted(range(len(model.clusterCenters())), key=lambda i: (sum((a - b) ** 2 for a, b in zip(model.clusterCenters()[i], query, strict=True)), i))
-    return nearest(assigned.where(F.col("cell").isin(centers[:probes])), key, vec, query, k)
+    centers = model.clusterCenters()
+    order = sorted(range(len(centers)), key=lambda i: (sum((a - b) ** 2 for a, b in zip(centers[i], query, strict=True)), i))
+    return nearest(assigned.where(F.col("cell").isin(order[:probes])), key, vec, query, k)
 
 
 def train_product_quantizer(vectors: DataFrame, vec: str, parts: int = 8, centroids: int = 256, seed: int = 7) -> list:
@@ -138,30 +140,32 @@ def train_product_quantizer(vectors: DataFrame, vec: str, parts: int = 8, centro
     return [train_cells(vectors.select(F.slice(vec, 1 + p * width, width).alias(vec)), vec, centroids, seed) for p in range(parts)]
 
 
-def _nearest_centroid(part: Column, centers: Column) -> Column:
-    return F.array_min(F.transform(centers, lambda c, i: F.struct(squared_l2(part, c).alias("d"), i.alias("i"))))["i"]
-
-
 def encode_product(vectors: DataFrame, vec: str, models: list) -> DataFrame:
     """Vectors with ``codes``: the nearest centroid of each slice, the lowest if it ties."""
-    width = len(models[0].clusterCenters()[0])
-    codes = []
-    for p, model in enumerate(models):
-        centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-        codes.append(_nearest_centroid(F.slice(vec, 1 + p * width, width), centers))
-    return vectors.withColumn("codes", F.array(*codes))
+    width, slices = len(models[0].clusterCenters()[0]), [f"_slice{p}" for p in range(len(models))]
+    encoded = vectors.withColumns({name: F.slice(vec, 1 + p * width, width) for p, name in enumerate(slices)})
+    for name, model in zip(slices, models, strict=True):
+        encoded = assign_cells(encoded, name, model).drop(name).withColumnRenamed("cell", name)
+    return encoded.withColumn("codes", F.array(*slices)).drop(*slices)
+
 
+def nearest_product(encoded: DataFrame, key: str, vec: str, models: list, query: list[float], k: int, rerank: int = 8, share: float = 0.0) -> DataFrame:
+    """Approximate distances from a table per slice, then exact ones for the best k * rerank, or the best share of all rows if that is more.
 
-def nearest_product(encoded: DataFrame, key: str, vec: str, models: list, query: list[float], k: int, rerank: int = 8) -> DataFrame:
-    """Approximate distances from a table per slice, then exact ones for the best k * rerank."""
+    The rows to rerank are those up to a quantile of the approximate distance, so
+    they are filtered where they lie. At a fixed depth recall falls as the table
+    grows; at a fixed share it doesn't.
+    """
     width = len(models[0].clusterCenters()[0])
     tables = []
     for p, model in enumerate(models):
         own = query[p * width : (p + 1) * width]
         tables.append(F.array(*[F.lit(float(sum((a - b) ** 2 for a, b in zip(own, c, strict=True)))) for c in model.clusterCenters()]))
     rough = sum((F.get(t, F.get("codes", F.lit(p))) for p, t in enumerate(tables)), F.lit(0.0))
-    best = encoded.select(key, vec, rough.alias("rough")).orderBy("rough", key).limit(k * rerank)
-    return nearest(best, key, vec, query, k)
+    scored = encoded.select(key, vec, rough.alias("rough"))
+    part = min(1.0, max(share, k * rerank / max(encoded.count(), 1)) + 1 / QUANTILE_ACCURACY)
+    bound = scored.agg(F.percentile_approx("rough", part, QUANTILE_ACCURACY)).first()[0]
+    return nearest(scored.where(F.col("rough") <= F.lit(bound)), key, vec, query, k)
 
 
 def nearest_composite(base: DataFrame, delta: DataFrame, removed: DataFrame, key: str, vec: str, query: list[float], k: int, metric: str = "l2") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import conditions, keys, values
 from loomstone.operators import diff, history, index, integrity, merge, mutate, objects, proximity, scan, views
 from loomstone.plans.fixtures import base_version, left_version, right_version, table
+from loomstone.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -515,6 +516,10 @@ def _query_vector(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
+# Settings of the approximate searches: cells and product codes as built, probes and rerank depth by measured recall.
+CELLS, PROBES = 32, 24
+PARTS, CENTROIDS, RERANK, RERANK_SHARE = 8, 256, 32, 0.05
+
 L2 = PAIR.format("(p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)")
 DOT = PAIR.format("p[1]::DOUBLE * p[2]::DOUBLE")
 
@@ -567,8 +572,8 @@ def knn_sq8(spark, sf_dir):
 @query()
 def knn_cells(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    model = proximity.train_cells(vectors, "embedding", 8)
-    return _rounded(proximity.nearest_in_cells(proximity.assign_cells(vectors, "embedding", model), "vec_id", "embedding", model, _query_vector(spark, sf_dir), 10, 4))
+    model = proximity.train_cells(vectors, "embedding", CELLS)
+    return _rounded(proximity.nearest_in_cells(proximity.assign_cells(vectors, "embedding", model), "vec_id", "embedding", model, _query_vector(spark, sf_dir), 10, PROBES))
 
 
 @query(f"SELECT e.vec_id, round(list_sum({L2}), 9) + 0.0 AS distance FROM embeddings e, {QUERY} q WHERE e.vec_id % 10 <> 3 ORDER BY list_sum({L2}), 1 LIMIT 10")
@@ -583,9 +588,9 @@ def knn_composite(spark, sf_dir):
 @query()
 def knn_pq(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    models = proximity.train_product_quantizer(vectors, "embedding", 4, 16)
-    encoded = proximity.encode_product(vectors, "embedding", models)
-    return _rounded(proximity.nearest_product(encoded, "vec_id", "embedding", models, _query_vector(spark, sf_dir), 10))
+    models = proximity.train_product_quantizer(vectors, "embedding", PARTS, CENTROIDS)
+    encoded = staged(proximity.encode_product(vectors, "embedding", models), "knn_pq")
+    return _rounded(proximity.nearest_product(encoded, "vec_id", "embedding", models, _query_vector(spark, sf_dir), 10, RERANK, RERANK_SHARE))
 
 
 # loads and values
