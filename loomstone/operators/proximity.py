@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 METRICS = ("l2", "cosine", "inner_product")
 EXACT_FLOOR, EXACT_SHARE = 4096, 0.01
 QUANTILE_ACCURACY = 10_000
+QUERY_BLOCK = 256
 
 
 def _fold(pairs: Column) -> Column:
@@ -64,15 +65,21 @@ def nearest_eligible(vectors: DataFrame, eligible: DataFrame, key: str, vec: str
     return nearest(vectors.join(eligible.select(key).distinct(), key, "left_semi"), key, vec, query, k, metric)
 
 
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """Queries packed into arrays ``qs`` of at most ``QUERY_BLOCK``, which divides the 2^33 row numbers of a partition."""
+    block = F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)
+    return queries.select(block.alias("block"), F.struct("query", "target").alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs")).select("qs")
+
+
 def nearest_for_each(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest rows of every query: (query, key, distance, rank).
 
-    ``queries`` is a stated, small set of (query, target): it is shipped to every
-    task as one array, vectors are read once, and tasks keep k rows per query
-    before anything is shuffled.
+    ``queries`` has (query, target) and may be of any size: it is packed into
+    blocks of at most ``QUERY_BLOCK`` queries, each vector meets each block, and
+    tasks keep k rows per query before anything is shuffled. Whether the blocks
+    are broadcast or dealt out with the vectors is left to their measured size.
     """
-    packed = queries.agg(F.collect_list(F.struct("query", "target")).alias("qs"))
-    scored = vectors.join(F.broadcast(packed)).select(
+    scored = vectors.crossJoin(query_blocks(queries)).select(
         key, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), distance(metric, F.col(vec), q["target"]).alias("distance"))))
     )
     near = Window.partitionBy("query", "part").orderBy("distance", key)
