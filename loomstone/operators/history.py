@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 1000
+from loomstone.staging import fresh_path, staged
 
 
-def ancestors(spark: SparkSession, edges: DataFrame, start: str, depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(spark: SparkSession, edges: DataFrame, start: str, depth: int | None = None) -> DataFrame:
     """(id, depth) of every commit reachable from ``start``, at its least depth. ``edges`` has (child, parent).
 
-    A recursive query: each step joins only the commits of the last level.
+    Levels are added one by one to a table in the shared folder until none is new;
+    each holds the parents of the last one that no level holds yet, so every commit
+    is visited once. Without a ``depth`` the whole history is walked.
     """
-    edges.createOrReplaceTempView("_history_edges")
-    kind = dict(edges.dtypes)["child"]
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, depth) MAX RECURSION LEVEL {depth + 1} AS (
-              SELECT CAST('{start}' AS {kind}) AS id, 0 AS depth
-              UNION ALL
-              SELECT e.parent, w.depth + 1 FROM walk w JOIN _history_edges e ON e.child = w.id WHERE w.depth < {depth}
-            ) SELECT id, min(depth) AS depth FROM walk GROUP BY id"""
-    )
-
-
-def is_ancestor(spark: SparkSession, edges: DataFrame, ancestor, descendant, depth: int = MAX_DEPTH) -> bool:
+    path, kind = fresh_path(spark, "ancestors"), dict(edges.dtypes)["child"]
+    links = staged(edges.where("parent IS NOT NULL").select("child", F.col("parent").cast(kind).alias("parent")).distinct(), "edges")
+    level, found = 0, spark.range(1).select(F.lit(start).cast(kind).alias("id"))
+    while True:
+        found.select("id", F.lit(level).alias("depth")).write.mode("append").parquet(path)
+        seen = spark.read.schema(f"id {kind}, depth int").parquet(path)
+        last = seen.where(F.col("depth") == level)
+        if level == depth or last.isEmpty():
+            return seen
+        parents = links.join(last, links["child"] == last["id"], "left_semi").select(F.col("parent").alias("id")).distinct()
+        found, level = parents.join(seen.select("id"), "id", "left_anti"), level + 1
+
+
+def is_ancestor(spark: SparkSession, edges: DataFrame, ancestor, descendant, depth: int | None = None) -> bool:
     """Whether one commit is reachable from another; a commit is its own ancestor."""
     return bool(ancestors(spark, edges, descendant, depth).where(F.col("id") == F.lit(ancestor)).limit(1).count())
 
 
-def merge_base(spark: SparkSession, commits: DataFrame, edges: DataFrame, a, b, depth: int = MAX_DEPTH) -> DataFrame:
+def merge_base(spark: SparkSession, commits: DataFrame, edges: DataFrame, a, b, depth: int | None = None) -> DataFrame:
     """Best common ancestor: greatest generation, then least sum of distances, then least id."""
     left = ancestors(spark, edges, a, depth).withColumnRenamed("depth", "d_a")
     right = ancestors(spark, edges, b, depth).withColumnRenamed("depth", "d_b")

@@ -655,13 +655,13 @@ def _walk(name: str, start: int) -> str:
 
 @query(f"WITH RECURSIVE {EDGES}, {_walk('w', 20)} SELECT id, min(depth) AS depth FROM w GROUP BY id ORDER BY 2, 1 LIMIT 12")
 def history_log(spark, sf_dir):
-    return history.ancestors(spark, _edges(spark, sf_dir), "20", 6).orderBy("depth", "id").limit(12)
+    return history.ancestors(spark, _edges(spark, sf_dir), "20").orderBy("depth", "id").limit(12)
 
 
 @query(f"WITH RECURSIVE {EDGES}, {_walk('a', 21)}, {_walk('b', 18)}, x AS (SELECT id, min(depth) AS d FROM a GROUP BY id), y AS (SELECT id, min(depth) AS d FROM b GROUP BY id) SELECT id, x.d AS d_a, y.d AS d_b, id AS generation FROM x JOIN y USING (id) ORDER BY id DESC LIMIT 1")
 def merge_base(spark, sf_dir):
     commits = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("generation"))
-    return history.merge_base(spark, commits, _edges(spark, sf_dir), "21", "18", 6)
+    return history.merge_base(spark, commits, _edges(spark, sf_dir), "21", "18")
 
 
 VERSION_LIST = "(SELECT n_name AS id, CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey * 7) % 11 END AS created_at FROM nation)"
