@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.difference_cover import suffix_order
-from loomstone.llm.minhash import BASE, _few, _scramble
+from loomstone.llm.minhash import BASE, _scramble
 from loomstone.llm.text_bytes import as_bytes, bounded
-from loomstone.staging import Staged
+from loomstone.staging import Staged, if_small
 
 LENGTH = 100
 ANCHOR = 32
@@ -194,15 +194,15 @@ def _window_spans(contexts: DataFrame) -> DataFrame:
     return later.select("doc", "key", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame) -> Staged:
     """Spans (doc, key, from, to) of bytes that repeat earlier ones; ``texts`` has distinct texts as (doc, key, text)."""
     long = texts.where(F.octet_length("text") >= LENGTH)
     found = long.mapInArrow(_anchor_batches, "anchor long, doc long, key long, first int")
     again = Staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    marked = found.join(_few(again.df), "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
+    marked = found.join(if_small(again), "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
     marks = Staged(marked, "anchor-places")
     again.drop()
-    with_marks = long.join(_few(marks.df), ["doc", "key"]).select("doc", "key", "text", "firsts")
+    with_marks = long.join(if_small(marks), ["doc", "key"]).select("doc", "key", "text", "firsts")
     schema = "anchor long, doc long, key long, start long, windows int, digest binary, context binary"
     contexts = Staged(with_marks.mapInArrow(_context_batches, schema), "contexts")
     marks.drop()
@@ -226,7 +226,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     out = Staged(by_doc, "repeated-spans")
     for table in (contexts, firsts, distinct, per_anchor):
         table.drop()
-    return out.df
+    return out
 
 
 def merged_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -266,7 +266,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     narrow = keyed.where(long).select("doc", "key", F.xxhash64(F.lit(1), "text").alias("key_b"))
     first = narrow.groupBy("key", "key_b").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = Staged(narrow.join(first, ["key", "key_b"]).where(F.col("doc") > F.col("least")).select("doc", "key").distinct(), "copies")
-    flagged = copies.df.withColumn("copy", F.lit(True))
-    spans = repeated_spans(keyed.join(_few(copies.df), ["doc", "key"], "left_anti").select("doc", "key", "text"))
-    rows = keyed.join(_few(flagged), ["doc", "key"], "left").join(_few(spans), ["doc", "key"], "left")
+    spans = repeated_spans(keyed.join(if_small(copies), ["doc", "key"], "left_anti").select("doc", "key", "text"))
+    rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(if_small(spans), ["doc", "key"], "left")
     return rows.select("doc_id", "text", "spans", "copy").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -59,3 +59,15 @@ def split_at(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     owner = np.searchsorted(offsets, starts, side="right") - 1
     return starts, ends, owner
+
+
+def parts_of_words(data: np.ndarray, word_byte: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Places of parts of about ``most`` bytes that never cut a word; a longer word makes a longer part."""
+    start, n = 0, len(data)
+    while start < n:
+        end = min(start + most, n)
+        while end < n and word_byte[data[end]]:
+            further = np.flatnonzero(~word_byte[data[end : end + most]])
+            end = end + int(further[0]) if len(further) else min(end + most, n)
+        yield start, end
+        start = end

@@ -244,6 +244,56 @@ def test_near_duplicates_in_chains_and_crowds(spark):
     assert ordered(minhash.components(docs).collect()) == ordered(components_by_hand(rows))
 
 
+def near_copies(rng, base, n, edits, fresh):
+    """Texts with the given numbers of words replaced by new ones."""
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(len(own), int(rng.integers(*edits)), replace=False):
+            own[at] = f"{fresh}{k}_{at}"
+        yield " ".join(own)
+
+
+def test_near_duplicates_of_a_crowd_with_stragglers(spark):
+    """Stragglers are close to a large group, linked to none of it or to one straggler only."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    base, other = rng.choice(words, 150).tolist(), rng.choice(words, 150).tolist()
+    texts = [*near_copies(rng, base, 300, (1, 4), "a"), *near_copies(rng, base, 150, (4, 6), "b"), *near_copies(rng, base, 100, (6, 12), "c")]
+    texts += [*near_copies(rng, base[:90] + other[:60], 60, (0, 5), "d"), *near_copies(rng, base[:75] + other[75:], 60, (2, 9), "e")]
+    texts += [t.replace(" ", "  ") + " tail words here" for t in texts[460:520:3]]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ordered(minhash.components(docs).collect()) == ordered(components_by_hand(rows))
+
+
+def test_differences_link_what_sets_link(spark):
+    """The links found by differences alone, all classes standing in one list."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60).tolist()
+    sets = {}
+    for k in range(150):
+        out = set(rng.choice(60, int(rng.integers(0, 14)), replace=False).tolist())
+        sets[k] = sorted([x for i, x in enumerate(base) if i not in out] + rng.integers(0, 40, int(rng.integers(0, 8))).tolist())
+    sets = {k: sorted(set(v)) for k, v in sets.items()}
+    lists = spark.createDataFrame([(bytes([k]), bytes([k]), len(v), k, 0, 7) for k, v in sets.items()], "cls binary, comp binary, n long, reach long, j int, v int")
+    found = minhash._by_differences(lists, spark.createDataFrame([(bytes([k]), v) for k, v in sets.items()], "cls binary, shingles array<long>")).df
+    links = {frozenset((bytes(a)[0], bytes(b)[0])) for a, b in found.collect()}
+    expected = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    leader = {149}
+    linked_to_leader = {a for a in sets if frozenset((a, 149)) in expected} | leader
+    assert links <= expected and {p for p in expected if not p <= linked_to_leader} <= links
+
+
+def test_sets_of_long_texts_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"Word{i % 977}" for i in range(5000)), "x" * 900 + " a b", " " * 1000, "a b c " + "\n" * 900 + "d", "one two three four five"]
+    whole = [minhash.shingle_sets(pa.array([t]))[0].tolist() for t in texts]
+    assert [s.tolist() for s in minhash.shingle_sets(pa.array(texts))] == whole
+    monkeypatch.setattr(minhash, "PART_BYTES", 100)
+    assert [minhash.shingle_sets(pa.array([t]))[0].tolist() for t in texts] == whole
+
+
 def test_queries_match_their_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
