@@ -12,10 +12,11 @@ Texts are matched by content, not by id, so copies are looked up once and
 repeated or null ids do no harm.
 
 Defined results: a null text or one without words has no hits; a document or an
-item may repeat; whole texts are read; items without words are ignored; a null
-item_id with an occurring window counts in n_items and is left out of the list;
-without documents or items the result is empty or free of hits; extra columns
-are ignored.
+item may repeat, and rows of one item_id are one item; whole texts are read; items
+without words are ignored; items without id are one item together, which counts
+in n_items if a window of theirs occurs and is left out of the list; without
+documents or items the result is empty or free of hits; extra columns of documents
+are kept, but for those named like a column of the verdict, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,23 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.quality_rules import _let
-from loomstone.staging import staged
+from loomstone.staging import Staged, if_small
 
 WINDOW = 13
 GRAM = 5
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, UPPER, LOWER)
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+VERDICT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text: runs of letters, digits and non-ASCII characters, A-Z lower-cased; null has none."""
+    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN)))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
 
 
 def text_key(text: Column) -> list[Column]:
@@ -70,9 +67,19 @@ def winnow(words: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """
     span = window - gram + 1
 
+    def smallest(hashes: Column, width: int) -> Column:
+        """Minimum of each run of ``width``, from those of half as many; shorter at the end."""
+        if width == 1:
+            return hashes
+        half = width // 2
+        later = lambda h, by: F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1)))
+        merged = lambda by: lambda h: F.zip_with(h, later(h, by), lambda x, y: F.least(x, y))
+        doubled = _let(smallest(hashes, half), merged(half))
+        return F.zip_with(doubled, later(hashes, width - 1), lambda x, y: F.least(x, y)) if width % 2 else doubled
+
     def pick(hashes: Column) -> Column:
-        best = lambda i: F.array_min(F.slice(hashes, i + 1, span))
-        chosen = F.transform(_indices(F.size(hashes) - (span - 1)), lambda i: F.struct(best(i).alias("h"), i.alias("i")))
+        whole = F.slice(smallest(hashes, span), 1, F.greatest(F.size(hashes) - (span - 1), F.lit(0)))
+        chosen = F.transform(whole, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
         fresh = lambda cs: F.filter(cs, lambda c, k: (k % span == 0) | (c["h"] != F.get(cs, k - 1)["h"]))
         return _let(chosen, fresh)
 
@@ -80,50 +87,42 @@ def winnow(words: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows of items: item_id, item_no (stands for the item), n (words), gram (the words)."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words"), F.xxhash64(F.col("item_id").cast("string"), "text").alias("item_no"))
-    items = items.where(F.size("words") > 0)
+    """Distinct windows of items: item_id (as text), n (words), gram (the words)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
     grams = F.transform(_indices(F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
-    return items.select("item_id", "item_no", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
-
+    return items.select("item_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram")).distinct()
 
-def _fitting(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table only if its rows are few; a shuffled join otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Occurrences of item windows in texts: key_a, key_b, start, n, item_no, item_id."""
-    windows = staged(item_windows(benchmark), "item-windows")
+def hits(docs: DataFrame, benchmark: DataFrame, windows: DataFrame) -> DataFrame | None:
+    """Occurrences of item windows in texts: key_a, key_b, start, n, gram; None if no item has a word."""
     lengths = [r["n"] for r in windows.select("n").distinct().orderBy("n").limit(WINDOW).collect()]
     texts = docs.select(*text_key(F.col("text")), "text")
     found = [_long_hits(texts, benchmark)] if WINDOW in lengths else []
     found += [_short_hits(texts, windows, n) for n in lengths if n < WINDOW]
     if not found:
-        return docs.sparkSession.createDataFrame([], "key_a long, key_b long, start int, n int, item_no long, item_id string")
+        return None
     starts = found[0]
     for more in found[1:]:
         starts = starts.unionByName(more)
-    named = starts.join(_fitting(windows), ["n", "gram"])
-    return named.select("key_a", "key_b", "start", "n", "item_no", "item_id").distinct()
+    grams = if_small(Staged(windows.select("n", "gram").distinct(), "windows"))
+    return starts.join(grams, ["n", "gram"], "left_semi").select("key_a", "key_b", "start", "n", "gram")
 
 
 def _long_hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Candidate windows: every 13-word window around a fingerprint that an item has too."""
     items = benchmark.select(F.explode(winnow(words_of(F.col("text")))).alias("f")).select(F.col("f.h").alias("h")).distinct()
-    items = _fitting(staged(items, "item-fingerprints"))
     span = WINDOW - GRAM + 1
     prints = texts.select("key_a", "key_b", F.inline(winnow(words_of(F.col("text")))))
-    places = prints.join(items, "h", "left_semi")
-    per_text = staged(places.groupBy("key_a", "key_b").agg(F.collect_set("i").alias("at")), "winnowed-hits")
+    places = prints.join(if_small(Staged(items, "item-fingerprints")), "h", "left_semi")
     near = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + span - 1))))
-    return _windows_at(texts, per_text.select("key_a", "key_b", near.alias("starts")), WINDOW)
+    per_text = places.groupBy("key_a", "key_b").agg(F.collect_set("i").alias("at")).select("key_a", "key_b", near.alias("starts"))
+    return _windows_at(texts, Staged(per_text, "winnowed-hits"), WINDOW)
 
 
-def _windows_at(texts: DataFrame, places: DataFrame, n: int) -> DataFrame:
+def _windows_at(texts: DataFrame, places: Staged, n: int) -> DataFrame:
     """The words of windows at given starts; each different text is read for them once."""
-    around = texts.join(_fitting(places), ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    around = texts.join(if_small(places), ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
     split = around.select("key_a", "key_b", words_of(F.col("text")).alias("words"), "starts")
     inside = split.select("key_a", "key_b", "words", F.filter("starts", lambda s: s <= F.size("words") - n).alias("starts"))
     gram = lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, n), " ").alias("gram"))
@@ -133,11 +132,11 @@ def _windows_at(texts: DataFrame, places: DataFrame, n: int) -> DataFrame:
 def _short_hits(texts: DataFrame, windows: DataFrame, n: int) -> DataFrame:
     """All runs of n words whose hash is that of a whole item of n words."""
     items = windows.where(F.col("n") == n).select(F.xxhash64(*[F.xxhash64(F.get(F.split("gram", " "), j)) for j in range(n)]).alias("h")).distinct()
-    items = _fitting(staged(items, "short-items"))
+    items = if_small(Staged(items, "short-items"))
     marked = lambda h, i: F.struct(h.alias("h"), i.alias("start"))
     runs = texts.select("key_a", "key_b", F.inline(F.transform(gram_hashes(words_of(F.col("text")), n), marked)))
     places = runs.join(items, "h", "left_semi").groupBy("key_a", "key_b").agg(F.collect_set("start").alias("starts"))
-    return _windows_at(texts, staged(places, "short-hits"), n)
+    return _windows_at(texts, Staged(places, "short-hits"), n)
 
 
 def covered_words(places: Column) -> Column:
@@ -150,23 +149,37 @@ def covered_words(places: Column) -> Column:
     return F.aggregate(places, begin, step, lambda a: a["hit"])
 
 
-def hits_by_text(found: DataFrame) -> DataFrame:
-    """Per text: n_hit, n_items and the list of item ids."""
+def hits_by_text(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per text: the words hit, the number of items and the list of their ids.
+
+    A window that occurs often in a text, or belongs to many items, meets them once.
+    """
     places = F.sort_array(F.collect_set(F.struct("start", "n")))
-    ids = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
-    grouped = found.groupBy("key_a", "key_b").agg(places.alias("places"), ids.alias("ids"), F.count_distinct("item_no").alias("n_items"))
-    return grouped.select("key_a", "key_b", covered_words(F.col("places")).cast("long").alias("hit"), F.col("n_items").alias("items"), "ids")
+    covered = found.groupBy("key_a", "key_b").agg(places.alias("places")).select("key_a", "key_b", covered_words(F.col("places")).cast("long").alias("hit"))
+    owners = found.select("key_a", "key_b", "n", "gram").distinct().join(windows, ["n", "gram"]).select("key_a", "key_b", "item_id").distinct()
+    ids, unnamed = F.sort_array(F.collect_list("item_id")), F.max(F.col("item_id").isNull().cast("int"))
+    named = owners.groupBy("key_a", "key_b").agg(ids.alias("ids"), unnamed.alias("unnamed"))
+    return covered.join(named, ["key_a", "key_b"]).select("key_a", "key_b", "hit", (F.size("ids") + F.col("unnamed")).cast("long").alias("items"), "ids")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, n_items, items_sha256 and contaminated."""
-    by_text = staged(hits_by_text(hits(docs, benchmark)), "text-hits")
-    keyed = docs.select("*", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_key(F.col("text")))
-    joined = keyed.join(_fitting(by_text), ["key_a", "key_b"], "left")
+    others = [c for c in docs.columns if c not in VERDICT]
+    packed = docs.select(F.struct(*[docs[c] for c in others]).alias("row"), docs["text"].alias("text"))
+    windows = Staged(item_windows(benchmark), "item-windows")
+    found = hits(packed, benchmark, windows.df)
+    counted = packed.select("row", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_key(F.col("text")))
+    if found is None:
+        joined = counted.withColumns({"hit": F.lit(0), "items": F.lit(0), "ids": F.array().cast("array<string>")})
+    else:
+        occurrences = Staged(found, "occurrences")
+        by_text = Staged(hits_by_text(occurrences.df, windows.df), "text-hits")
+        occurrences.drop()
+        joined = counted.join(if_small(by_text), ["key_a", "key_b"], "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     listed = F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256)
     return joined.select(
-        *[joined[c] for c in docs.columns],
+        *[F.col("row")[c].alias(c) for c in others],
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
@@ -195,7 +208,7 @@ p AS (SELECT text, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (
     SELECT text, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM k, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
 h AS (SELECT p.text, p.i, p.n, g.item_id FROM p JOIN g ON p.n = g.n AND p.gram = g.gram),
 c AS (SELECT text, count(DISTINCT j) AS n_hit FROM (SELECT text, unnest(range(i, i + n)) AS j FROM h) GROUP BY text),
-m AS (SELECT text, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY text)
+m AS (SELECT text, count(DISTINCT item_id) + max((item_id IS NULL)::INT) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY text)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

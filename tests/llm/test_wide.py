@@ -116,6 +116,19 @@ def test_suffix_dedup_with_large_groups(spark, monkeypatch):
     assert ordered(suffix_dedup.deduplicate(docs).collect()) == expected
 
 
+def by_sql(sql, columns, **tables):
+    """Rows of the SQL over small tables of (id, text)."""
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    names = {"documents": "doc_id", "benchmark": "item_id"}
+    for table, rows in tables.items():
+        connection.execute(f"create table {table} ({names[table]} bigint, text varchar)")
+        connection.executemany(f"insert into {table} values (?, ?)", [list(r[:2]) for r in rows])
+    cursor = connection.execute(sql)
+    at = [[c[0] for c in cursor.description].index(c) for c in columns]
+    return [tuple(r[i] for i in at) for r in cursor.fetchall()]
+
+
 def hits_by_hand(text, items):
     words, hit, found = re.findall(WORD, lower(text)), set(), set()
     for item_id, item in items:
@@ -126,16 +139,20 @@ def hits_by_hand(text, items):
             if tuple(words[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
                 found.add(item_id)
-    listed = ",".join(sorted(map(str, found)))
+    listed = ",".join(sorted(str(i) for i in found if i is not None))
     return len(words), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
 def test_decontamination(spark, docs, no_docs, rows, passage):
-    items = [(1, passage), (2, passage.upper() + " more words behind it"), (3, "two words"), (4, ""), (5, None), (6, "D-E"), (7, "the the the the the the the the the the the the the the the"), (1, passage)]
+    items = [(1, passage), (2, passage.upper() + " more words behind it"), (3, "two words"), (4, ""), (5, None), (6, "D-E"), (7, "the the the the the the the the the the the the the the the"), (1, passage), (1, "another text of the same item"), (None, "the the"), (None, passage)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = ordered(decontam.verdicts(docs, benchmark).collect())
     assert got == ordered((r[0], *hits_by_hand(r[1], items)) for r in rows)
     assert decontam.verdicts(no_docs, benchmark).collect() == []
+    assert ordered(by_sql(decontam.SQL, decontam.verdicts(docs, benchmark).columns, documents=rows, benchmark=items)) == got
+    judged = decontam.judge(docs, benchmark)
+    assert sorted(judged.columns) == sorted({*docs.columns, *decontam.VERDICT})
+    assert sorted(r[0] for r in judged.select("n_words").collect()) == sorted(r[1] for r in got)
     clean = decontam.verdicts(docs, benchmark.where("false")).collect()
     assert len(clean) == len(rows) and not any(r["contaminated"] for r in clean)
 
