@@ -49,7 +49,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
+SHARD_BYTES = 256 << 20
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -95,11 +96,16 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 
 def pack_ids(ids: bytes) -> bytes:
-    """32-bit ids as 16-bit ones where they all fit."""
+    """The stored value of 32-bit ids: 16-bit ones where they all fit."""
     wide = np.frombuffer(ids, "<u4")
     return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
 
 
+def count_ids(value: bytes) -> int:
+    """The number of ids in a stored value."""
+    return (len(value) - 1) // value[0]
+
+
 def unpack_ids(value: bytes) -> bytes:
     """32-bit ids of a stored value."""
     return np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes() if value[0] == 2 else value[1:]
@@ -115,17 +121,18 @@ class ShardWriter:
         self.index, self.keys = bytearray(), []
         self.compress = zstandard.ZstdCompressor(level=3).compress
 
-    def add(self, doc_id: int | None, value: bytes) -> None:
+    def add(self, doc_id: int | None, packed: bytes) -> None:
+        """Write one document's ids as a stored value; documents come in key order."""
         own = id_key(doc_id)
         if not self.keys or self.keys[-1] != own:
             self.keys.append(own)
         key = own + struct.pack(">Q", self.entries)
         if not self.in_block:
             self.first, self.last, self.before = key, b"", self.tokens
-        shared, packed = len(os.path.commonprefix([self.last, key])), pack_ids(value)
+        shared = len(os.path.commonprefix([self.last, key]))
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(packed)) + key[shared:] + packed
         self.last = key
-        self.entries, self.in_block, self.tokens = self.entries + 1, self.in_block + 1, self.tokens + len(value) // 4
+        self.entries, self.in_block, self.tokens = self.entries + 1, self.in_block + 1, self.tokens + count_ids(packed)
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -225,7 +232,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
-        self.ends_word = np.zeros(1 << 20, bool)
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(pieces.values(), default=0) < 1 << 16 else "<u4"
+        self.ends_word = np.zeros(max(pieces.values(), default=0) + 1, bool)
         self.ends_word[[i for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
 
     @staticmethod
@@ -234,6 +243,8 @@ class WordEncoder:
         if not text:
             return []
         if "<|" not in text:
+            if text.isascii():
+                return LATIN_CHUNK.findall(text.lower())
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
@@ -263,11 +274,12 @@ class WordEncoder:
             self._store(part, np.array(encoding.ids, dtype="<u4"), np.searchsorted(begins, starts))
 
     def _store(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
-        raw, at = ids.tobytes(), (cuts * 4).tolist()
+        raw, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+        at = (cuts * width).tolist()
         self.cache.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes, without the end id."""
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        """The stored value of each text: its ids and the end id."""
         if len(self.cache) > CACHED_WORDS:
             self.cache, self.older = {}, self.cache
         split = [self.chunks(t) for t in texts]
@@ -275,8 +287,13 @@ class WordEncoder:
         known = new & self.older.keys()
         self.cache.update((w, self.older[w]) for w in known)
         self._learn(sorted(new - known))
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        ids_of = self.cache.__getitem__
+        found = [map(ids_of, words) for words in split]
+        last = np.array([end], "<u4")
+        if self.kind == "<u2" and end < 1 << 16:
+            tail = last.astype("<u2").tobytes()
+            return [b"".join([b"\x02", *ids, tail]) for ids in found]
+        return [pack_ids(np.frombuffer(b"".join(ids), self.kind).astype("<u4").tobytes() + last.tobytes()) for ids in found]
 
 
 @lru_cache(maxsize=1)
@@ -288,11 +305,12 @@ def encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, directory: str, tokenizer: str = TOKENIZER) -> list[tuple[str, int, int]]:
     """Tokenize and write all documents; (path, documents, ids) of the shards in key order.
 
-    The list has one item per shard, whatever the number of documents.
+    The list has one item per shard. Shards hold about SHARD_BYTES of text, or
+    less where there are fewer of them than shuffle partitions.
     """
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    end = struct.pack("<I", END_ID)
+    in_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-in_all // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, out = encoder(tokenizer).encode, None, None
@@ -304,8 +322,8 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str = TOKENIZER) ->
                 own, final = f"{base}/.{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.sst"
                 out = system.open_output_stream(own)
                 writer = ShardWriter(out)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                writer.add(doc_id, ids + end)
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist(), END_ID), strict=True):
+                writer.add(doc_id, value)
         if writer is not None:
             writer.finish()
             out.close()

@@ -56,7 +56,7 @@ def test_shards_find_every_block_and_notice_damage(tmp_path):
         writer = sstable.ShardWriter(out)
         values = {i: np.random.default_rng(i + 50).integers(0, 1 << (15 + 3 * (i % 2)), 5000).astype("<u4") for i in range(-50, 50)}
         for i, v in values.items():
-            writer.add(i, v.tobytes())
+            writer.add(i, sstable.pack_ids(v.tobytes()))
         writer.finish()
     reader = sstable.ShardReader(f"file://{path}")
     assert len(reader.index) > 5
@@ -69,6 +69,15 @@ def test_shards_find_every_block_and_notice_damage(tmp_path):
         list(sstable.ShardReader(f"file://{path}").scan())
 
 
+def test_shards_follow_the_bytes_of_texts(spark, docs, monkeypatch):
+    directory = sstable.fresh_path(spark, "test")
+    whole = ordered(sstable.token_rows(docs).collect())
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 4096)
+    shards = sstable.write_shards(docs, directory)
+    assert len(shards) > 4
+    assert ordered(sstable.read_shards(spark, shards).collect()) == whole
+
+
 def test_suffix_order_against_sorting():
     rng = np.random.default_rng(1)
     for n in [*range(1, 30), 100, 300]:
