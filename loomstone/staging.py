@@ -58,9 +58,9 @@ class Staged:
         remove(self.spark, self.path)
 
 
-def if_small(table: Staged) -> DataFrame:
-    """The table, to be broadcast if its files and its rows as stored are small; else joined by a shuffle."""
-    return F.broadcast(table.df) if table.bytes() <= BROADCAST_BYTES else table.df
+def if_small(table: Staged, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, to be broadcast if its files hold at most so many bytes; else joined by a shuffle."""
+    return F.broadcast(table.df) if table.bytes() <= most else table.df
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
