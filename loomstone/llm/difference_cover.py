@@ -44,11 +44,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[by_rank] = np.arange(1, len(sample) + 1)
 
-    rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], s[rest]))]
-    first, second = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     wide = len(sample) + 1
-    before_first = np.searchsorted(s[first] * wide + rank[first + 1], s[rest] * wide + rank[rest + 1])
+    rest = np.arange(0, n, 3)
+    by_first = s[rest] * wide + rank[rest + 1]
+    rest_order = np.argsort(by_first)
+    rest, by_first = rest[rest_order], by_first[rest_order]
+    is_first = by_rank % 3 == 1
+    first, second = by_rank[is_first], by_rank[~is_first]
+    before_first = np.searchsorted(s[first] * wide + rank[first + 1], by_first)
     pairs = _dense(np.concatenate((s[second], s[rest])), np.concatenate((s[second + 1], s[rest + 1])))
     keys = pairs * wide + np.concatenate((rank[second + 2], rank[rest + 2]))
     before_second = np.searchsorted(keys[: len(second)], keys[len(second) :])
