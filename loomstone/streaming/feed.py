@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomstone.sources.files import Files
 from loomstone.sources.store import VersionStore
 
-VERSION_SCHEMA = "id string, n_rows long, digest string, parents array<string>, generation long, created_at double"
+MOVE_SCHEMA = "sequence long, ref string, old string, new string, at double"
 
 
-def version_stream(spark: SparkSession, store: VersionStore) -> DataFrame:
-    """Version files as they appear."""
-    return spark.readStream.schema(VERSION_SCHEMA).json(f"{store.root}/versions/*.json")
+def move_stream(store: VersionStore) -> DataFrame:
+    """Logged moves of refs as they appear; the stream's checkpoint remembers which were seen."""
+    return store.spark.readStream.schema(MOVE_SCHEMA).json(store.files.path("log"))
 
 
 def follow(store: VersionStore, value: str, checkpoint: str, handle: Callable[[DataFrame, str], None], ref: str = "main", last_seen: str | None = None) -> StreamingQuery:
-    """Call ``handle(changes, head)`` whenever new versions appear; changes of several versions come as one."""
-    seen = {"at": last_seen}
+    """Call ``handle(changes, head)`` whenever the ref has moved; changes of several versions come as one.
+
+    The version handled last is kept beside the checkpoint, so a restarted feed
+    goes on behind it; ``last_seen`` counts only for a feed that is new.
+    """
+    places = Files(store.spark, checkpoint)
 
     def batch(_: DataFrame, __: int) -> None:
-        if (news := store.poll(seen["at"], value, ref)) is not None:
+        kept = places.read("position.json")
+        at = json.loads(kept)["version"] if kept else last_seen
+        if (news := store.poll(at, value, ref)) is not None:
             handle(news[1], news[0])
-            seen["at"] = news[0]
+            places.replace("position.json", json.dumps({"version": news[0]}))
+
+    stream = move_stream(store).where(F.col("ref") == ref).writeStream.foreachBatch(batch)
+    return stream.option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Add events to a log; files hold runs in order."""
+    events.repartitionByRange("run", "ts", "sequence").sortWithinPartitions("run", "ts", "sequence").write.mode("append").parquet(path)
+
 
-    stream = version_stream(store.spark, store).writeStream.foreachBatch(batch)
-    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def load_events(spark: SparkSession, path: str, run=None) -> DataFrame:
+    """Events of a log in order of run, time and sequence number."""
+    found = spark.read.parquet(path)
+    return (found.where(F.col("run") == F.lit(run)) if run is not None else found).orderBy("run", "ts", "sequence")
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, window: str, lateness: str) -> DataFrame:
