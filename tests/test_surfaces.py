@@ -7,7 +7,7 @@ from loomstone.operators import mutate, proximity, scan
 from loomstone.sources.documents import ConditionFailed, DocumentTable
 from loomstone.sources.repository import ObjectRepository
 from loomstone.sources.session import Catalog, WriteSession
-from loomstone.sources.sql import SqlSurface
+from loomstone.sources.sql import ConstraintViolation, SerializationConflict, SqlDatabase
 from loomstone.sources.store import StaleRef, VersionStore
 from pyspark.sql import functions as F
 
@@ -93,26 +93,85 @@ def test_object_repository(spark, tmp_path):
     assert {r["key"] for r in repo.diff(first.id, repo.store.head()).collect()} == {"a/2", "b", "c"}
 
 
-def test_sql_surface(spark, tmp_path):
-    store = VersionStore(spark, str(tmp_path), "k")
-    store.commit(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], KV))
-    sql = SqlSurface(spark, {"things": store})
-    first = store.head()
-    sql.checkout()
-    sql.create_function("plus_one", "n INT", "INT", "n + 1")
-    assert sql.query("SELECT plus_one(count(*)) AS n FROM things").first()["n"] == 4
-    assert [r["k"] for r in sql.indexed("things", "v", ">", "a").collect()] == [3, 2]
-    assert sql.insert("things", spark.createDataFrame([(4, "a")], KV)) == "applied"
-    with pytest.raises(ValueError):
-        sql.insert("things", spark.createDataFrame([(4, "a")], KV))
-    sql.delete("things", "v = 'b'")
-    sql.checkout(things=first)
-    assert sql.query("SELECT count(*) AS n FROM things").first()["n"] == 3
-    rows = store.snapshot(store.head())
-    broken = sql.violations({"things": rows}, {"things": [["v"]]}, [("things", "k", "things", "k")], {"things": ["v"]})
-    assert set(broken) == {"unique things(v)", "not null things"}
-    store.commit(rows.withColumn("w", F.lit(1)))
-    assert sql.schema_diff("things", first, store.head()) == [("w", None, "integer")]
+@pytest.fixture
+def database(spark, tmp_path):
+    db = SqlDatabase(spark, str(tmp_path / "db"))
+    db.execute("CREATE TABLE owners (id INT PRIMARY KEY, name STRING NOT NULL UNIQUE)")
+    db.execute("CREATE TABLE things (id INT, owner INT, v STRING, PRIMARY KEY (id), FOREIGN KEY (owner) REFERENCES owners (id))")
+    db.execute("INSERT INTO owners VALUES (1, 'ann'), (2, 'bob')")
+    db.execute("INSERT INTO things VALUES (1, 1, 'a'), (2, NULL, NULL), (3, 2, 'b')")
+    return db
+
+
+def values(db, name="things"):
+    return [tuple(r) for r in db.scan(name).collect()]
+
+
+def test_sql_statements(database):
+    db = database
+    db.execute("CREATE INDEX by_v ON things (upper(v))")
+    assert [r["id"] for r in db.scan_index("things", "by_v", ">", "A").collect()] == [3, 2], "null is above every value"
+    assert [r["id"] for r in db.scan_index("things", "by_v", descending=True).collect()] == [2, 3, 1]
+    db.execute("CREATE FUNCTION plus_one(n INT) RETURNS INT RETURN n + 1")
+    assert db.execute("SELECT plus_one(count(*)::int) AS n FROM things").first()["n"] == 4 and db.function("plus_one")["returns"] == "INT"
+    db.execute("UPDATE things SET v = concat(v, '!'), owner = 2 WHERE id = 1")
+    db.execute("UPSERT INTO things (id, v) VALUES (2, 'new'), (4, 'four')")
+    db.execute("DELETE FROM things WHERE id = 3")
+    assert values(db) == [(1, 2, "a!"), (2, None, "new"), (4, None, "four")] and db.fetch("things", 4)["v"] == "four"
+    assert [r["id"] for r in db.scan_index("things", "by_v", "=", "A!").collect()] == [1], "an index follows its table"
+    for wrong in ("INSERT INTO things VALUES (1, 1, 'x')", "INSERT INTO things VALUES (9, 7, 'x')", "INSERT INTO owners VALUES (3, 'ann')", "INSERT INTO owners VALUES (3, NULL)"):
+        with pytest.raises(ConstraintViolation):
+            db.execute(wrong)
+    assert [tuple(r) for r in db.table_meta().collect()] == [("owners", "id", 2, 2, 0), ("things", "id", 3, 3, 1)]
+    db.execute("DROP INDEX things.by_v")
+    db.execute("DROP FUNCTION plus_one")
+    db.execute("DROP TABLE things")
+    assert list(db.schemas()) == ["owners"] and db.function("plus_one") is None and db.schema("things") is None
+
+
+def test_sql_rows_without_a_key_get_numbers(spark, tmp_path):
+    db = SqlDatabase(spark, str(tmp_path))
+    db.execute("CREATE TABLE notes (t STRING)")
+    db.append("notes", spark.range(50).selectExpr("cast(id as string) t").repartition(4))
+    db.execute("INSERT INTO notes VALUES ('last')")
+    assert sorted(r["_row_id"] for r in db.table("notes").collect()) == list(range(1, 52)) and db.fetch("notes", 51)["t"] == "last"
+
+
+def test_sql_transactions_and_branches(spark, database, tmp_path):
+    db, other = database, SqlDatabase(spark, str(tmp_path / "db"))
+    db.begin()
+    db.execute("DELETE FROM things")
+    assert values(db) == [] and len(values(other)) == 3
+    db.rollback()
+    assert len(values(db)) == 3
+    other.begin()
+    other.execute("UPDATE things SET v = 'late'")
+    db.execute("UPDATE things SET v = 'early' WHERE id = 1")
+    with pytest.raises(SerializationConflict):
+        other.commit()
+    start = db.at
+    db.create_branch("side")
+    db.execute("UPDATE things SET v = 'main' WHERE id = 2")
+    side = SqlDatabase(spark, str(tmp_path / "db"), "side")
+    side.execute("UPDATE things SET v = 'side' WHERE id = 3")
+    side.execute("CREATE TABLE extra (id INT PRIMARY KEY)")
+    assert db.merge("side")[0] == "merged" and [r[2] for r in values(db)] == ["early", "main", "side"] and "extra" in db.schemas()
+    assert db.is_ancestor(start, db.at) and db.merge_base(db.at, side.at) == side.at and db.log(1)[0] == (db.at, "merge")
+    found = db.diff(start, db.at)
+    assert found["added"] == ["extra"] and {(r["id"], r["kind"]) for r in found["rows"]["things"].collect()} == {(2, "changed"), (3, "changed")}
+    side.execute("UPDATE things SET v = 'x' WHERE id = 1")
+    side.execute("DELETE FROM owners WHERE id = 2")
+    db.execute("UPDATE things SET v = 'y' WHERE id = 1")
+    before = db.at
+    outcome, trouble = db.merge("side")
+    assert outcome == "conflicts" and list(trouble) == ["rows things"] and db.head() == before
+    db.execute("UPDATE things SET v = 'x' WHERE id = 1")
+    outcome, trouble = db.merge("side")
+    assert outcome == "conflicts" and list(trouble) == ["foreign key things.owner"]
+    db.checkout(start)
+    assert [r[2] for r in values(db)] == ["early", None, "b"]
+    db.reset(start)
+    assert db.head() == start and db.branches().keys() == {"main", "side"}
 
 
 def test_cbor(spark):
