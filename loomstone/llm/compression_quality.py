@@ -7,7 +7,10 @@ pieces keep repetitions inside a text from hiding the dictionaries' effect.
 
 Learning uses at most ``SAMPLE_ROWS`` labelled rows of each class, those with the
 lowest hash of their id among rows whose crc32(doc_id as text) mod 5 is not 0:
-half build the dictionaries, half fit the curve. That bound is a parameter.
+half build the dictionaries, half fit the curve. Of these rows, those go whose
+text would take the class over ``SAMPLE_BYTES``. Both bounds are parameters. Where
+zstandard can't train a dictionary, as from a handful of short texts, the last
+bytes of the class's texts serve as one.
 
 Defined results: a null or empty text has difference 0 and the score of the
 curve there; without rows of both classes every score is the share of label 1
@@ -32,6 +35,7 @@ from loomstone.llm.langid import held_out
 from loomstone.llm.text_bytes import bounded
 
 SAMPLE_ROWS = 1500
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 PIECE = 256
 LEVEL = 3
@@ -98,22 +102,30 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(weights[0] / scale), float(weights[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, bytes]]:
-    """At most ``rows`` (label, text) of each class, by lowest hash of the id; ids first, so texts of few rows move."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
+    """At most ``rows`` (label, text) and ``most`` bytes of each class, by lowest hash of the id; ids and sizes first, so only texts that are taken move."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
-    found = []
+    texts = docs.select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("tie")).where(F.col("text").isNotNull())
+    order, found = [F.xxhash64("doc_id"), "doc_id", "tie"], []
     for label in (0, 1):
         ids = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        picked = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-        picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
-        found += [(label, r["text"].encode()) for r in picked.select("text").toLocalIterator()]
+        sized = texts.select("doc_id", "n", "tie").join(F.broadcast(ids), "doc_id").orderBy(*order).limit(rows)
+        taken, left = [], most
+        for r in sized.select("doc_id", "tie", "n").collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                taken.append((r["doc_id"], r["tie"]))
+        if taken:
+            wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, tie long")
+            picked = texts.join(F.broadcast(wanted), ["doc_id", "tie"]).orderBy(*order).limit(len(taken))
+            found += [(label, r["text"].encode()) for r in picked.select("text").collect()]
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> CompressionModel:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> CompressionModel:
     """Build the dictionaries from every other row of the sample and fit the curve to the rest."""
-    sample = labelled_sample(docs, labels, rows)
+    sample = labelled_sample(docs, labels, rows, most)
     by_label = [[t for y, t in sample if y == label] for label in (0, 1)]
     if min(map(len, by_label)) < 2:
         share = len(by_label[1]) / len(sample) if sample else 0.5

@@ -8,12 +8,13 @@ is the one that labels most letters.
 
 The model is learned from all texts with a language label whose
 crc32(doc_id as text) mod 4 is not 2: counts of trigrams and of scripts per
-language, summed in Spark from one packed block per task.
+language, summed within tasks and then by Spark per language and count.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
-if no row can be learned from, every text is ``und``; whole texts are read;
-ties go to the first language in code-point order; equal texts get equal rows;
-an empty table gives an empty result.
+if no row can be learned from, every text is ``und``; whole texts are read, in
+parts where they are long; ties go to the first language in code-point order;
+equal texts get equal rows; an empty table gives an empty result; extra columns
+are kept, but for those named like a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.text_bytes import as_bytes, bounded, split_at
+from loomstone.llm.text_bytes import as_bytes, bounded, parts_of_words, split_at
 
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 6.0
 SCRIPT_SHARE = 0.01
 UNDETERMINED = "und"
+PART_BYTES = 1 << 20
+RESULTS = ("lang_pred", "lang_score", "lang_spans")
 
 LETTER = np.zeros(256, bool)
 LETTER[np.r_[0x41:0x5B, 0x61:0x7B, 0x80:0x100]] = True
@@ -94,28 +97,34 @@ def _letters(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mask[:-1]))
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, Words]]:
+    """The words of a batch in parts of bounded size: (first byte, bytes, words); places count from the part's first byte."""
+    for a, b in parts_of_words(data, LETTER, PART_BYTES):
+        yield a, data[a:b], words_of(data[a:b], np.clip(offsets, a, b) - a)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language: trigram counts and script counts of one task's texts, packed in slices."""
+    """(lang, slot, n) of one task's texts: trigrams in the first ``BUCKETS`` slots, scripts behind them."""
     totals: dict[str, np.ndarray] = {}
     for batch in bounded(batches):
         langs = batch.column("lang").to_pylist()
         data, offsets = as_bytes(batch.column("text"))
-        words = words_of(data, offsets)
-        if not len(words.starts):
-            continue
         names = sorted(set(langs))
         number = np.array([names.index(x) for x in langs])
-        at = _letters(words, len(data))
-        of = number[np.searchsorted(offsets, at, side="right") - 1]
-        grams = np.bincount(of * BUCKETS + words.buckets[at], minlength=len(names) * BUCKETS).reshape(len(names), -1)
-        scripts = np.bincount(number[words.owner] * SCRIPTS + words.script, minlength=len(names) * SCRIPTS).reshape(len(names), -1)
-        for k, name in enumerate(names):
-            both = np.concatenate((grams[k], scripts[k]))
-            totals[name] = totals[name] + both if name in totals else both
-    if totals:
-        names = sorted(totals)
+        for _, part, words in parts(data, offsets):
+            if not len(words.starts):
+                continue
+            at, of_word = _letters(words, len(part)), number[words.owner]
+            of = np.repeat(of_word, words.ends - words.starts)
+            grams = np.bincount(of * BUCKETS + words.buckets[at], minlength=len(names) * BUCKETS).reshape(len(names), -1)
+            scripts = np.bincount(of_word * SCRIPTS + words.script, minlength=len(names) * SCRIPTS).reshape(len(names), -1)
+            for k, name in enumerate(names):
+                both = np.concatenate((grams[k], scripts[k]))
+                totals[name] = totals[name] + both if name in totals else both
+    for name in sorted(totals):
+        slots = np.flatnonzero(totals[name])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array([totals[n].astype("<i8").tobytes() for n in names], pa.binary())], names=["lang", "counts"]
+            [pa.array([name] * len(slots)), pa.array(slots, pa.int32()), pa.array(totals[name][slots], pa.int64())], names=["lang", "slot", "n"]
         )
 
 
@@ -143,19 +152,13 @@ class LanguageModel:
 def learn(docs: DataFrame) -> LanguageModel:
     """The model of all rows with text, language and an id that isn't held out.
 
-    What reaches the driver is one block of counts per language.
+    What reaches the driver is at most one count per language and slot.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2)).select("lang", "text")
-    blocks = rows.mapInArrow(_count_batches, "lang string, counts binary")
-
-    def add(pdf):
-        total = np.zeros(BUCKETS + SCRIPTS, np.int64)
-        for block in pdf["counts"]:
-            total += np.frombuffer(block, "<i8")
-        return pdf.head(1)[["lang"]].assign(counts=total.astype("<i8").tobytes())
-
-    summed = blocks.groupBy("lang").applyInPandas(add, "lang string, counts binary")
-    return LanguageModel.from_counts({r["lang"]: np.frombuffer(r["counts"], "<i8") for r in summed.toLocalIterator()})
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.mapInArrow(_count_batches, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["lang"], np.zeros(BUCKETS + SCRIPTS, np.int64))[r["slot"]] = r["n"]
+    return LanguageModel.from_counts({lang: c for lang, c in counts.items() if c[:BUCKETS].any()})
 
 
 def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
@@ -169,7 +172,15 @@ def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
     first = np.searchsorted(at, words.starts)
     summed = np.add.reduceat(model.scores[words.buckets[at]], first, axis=0)
     scaled = summed / np.sqrt(words.ends - words.starts)[:, None]
-    return np.where(model.allowed[words.script], scaled, np.float32(-1e4))
+    return np.where(model.allowed[words.script], scaled, np.float32(-1e4)).astype(np.float32)
+
+
+def scored_words(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, owners and scores of all words of a batch."""
+    found = [(words.starts + a, words.ends + a, words.owner, word_scores(words, model)) for a, _, words in parts(data, offsets)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(model.langs)), np.float32)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -210,22 +221,23 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
 def predict_batch(text: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
     """Language, score and spans (first byte, end byte, language) of each text."""
     data, offsets = as_bytes(text)
-    n, words = len(text), words_of(data, offsets)
-    if not model.langs or not len(words.starts):
+    n = len(text)
+    starts, ends, owner, scores = scored_words(data, offsets, model)
+    if not model.langs or not len(starts):
         return [UNDETERMINED] * n, np.zeros(n), [[] for _ in range(n)]
-    scores, first = word_scores(words, model), np.searchsorted(words.owner, np.arange(n + 1))
+    first = np.searchsorted(owner, np.arange(n + 1))
     labels = viterbi(scores, first)
     letters = np.zeros((n, len(model.langs)))
-    np.add.at(letters, (words.owner, labels), words.ends - words.starts)
+    np.add.at(letters, (owner, labels), ends - starts)
     total, pick = letters.sum(axis=1), letters.argmax(axis=1)
     ascii_letter = np.zeros(n, bool)
     ascii_letter[np.searchsorted(offsets, np.flatnonzero(LETTER[data] & (data < 0x80)), side="right") - 1] = True
     known = [bool(ascii_letter[i]) or (total[i] > 0 and any(map(str.isalpha, text[i].as_py()))) for i in range(n)]
-    turn = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (words.owner[1:] != words.owner[:-1]))))
+    turn = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1]))))
     spans = [[] for _ in range(n)]
     for a, b in zip(turn, [*turn[1:], len(labels)], strict=True):
-        t = words.owner[a]
-        spans[t].append((int(words.starts[a] - offsets[t]), int(words.ends[b - 1] - offsets[t]), model.langs[labels[a]]))
+        t = owner[a]
+        spans[t].append((int(starts[a] - offsets[t]), int(ends[b - 1] - offsets[t]), model.langs[labels[a]]))
     share = np.divide(letters[np.arange(n), pick], total, out=np.zeros(n), where=total > 0)
     langs = [model.langs[k] if ok else UNDETERMINED for k, ok in zip(pick, known, strict=True)]
     return langs, np.where(known, share, 0.0), spans
@@ -236,7 +248,7 @@ SPAN_TYPE = "array<struct<start:long,end:long,lang:string>>"
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` columns with lang_pred, lang_score and lang_spans; rows aren't moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, shared = docs.drop(*RESULTS), docs.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# Label, name pattern, keywords of which a name always holds one (after |, of another alternative), SPDX pattern, address pattern.
+# Label, name pattern, keywords of which a name always holds one (after |, of another alternative), SPDX pattern, address pattern.
 FAMILIES = (
     ("agpl", r"(?:gnu )?affero general public licen[cs]e", "affero", r"agpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/agpl"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "general public", r"lgpl-\d\.\d[-a-z]*", r"gnu\.org/licenses/lgpl"),
@@ -81,7 +81,7 @@ FAMILIES = (
     ("beerware", r"beer-?ware licen[cs]e", "beer", r"beerware", r"people\.freebsd\.org/~phk"),
 )
 
-# Form, pattern around the name (N), keyword of the form, priority, confidence in tenths.
+# Form, pattern around the name (N), keyword of the form, priority, confidence in tenths.
 FORMS = (
     ("grant", r"(?:licen[cs]ed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?(?:N)(?:,? (?:version|v) ?\d(?:\.\d)?)?", "under", 5, 9),
     ("version", r"(?:N),? (?:version |v)\d(?:\.\d)*(?: or (?:\(at your option\) )?(?:any )?later)?", "", 4, 8),
@@ -89,7 +89,7 @@ FORMS = (
     ("name", r"(?:N)", "", 2, 6),
 )
 
-# Label, pattern, keyword, priority, confidence in tenths.
+# Sentences that standard texts hold: label, pattern, keyword, priority, confidence in tenths.
 TEXTS = (
     ("mit", r"permission is hereby granted, free of charge, to any person", "permission is hereby", 6, 10),
     ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software", "permission to use", 6, 9),
@@ -102,6 +102,62 @@ TEXTS = (
     ("public-domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", "public domain", 3, 7),
     ("proprietary", r"all rights reserved", "rights reserved", 1, 4),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 3, 8),
+    ("mit", r"the software is provided \"?as is\"?, without warranty of any kind, express or implied", "as is", 6, 8),
+    ("mit", r"the above copyright notice and this permission notice shall be included", "permission notice", 6, 10),
+    ("mit-0", r"without restriction, including without limitation the rights to use, copy, modify", "without restriction", 5, 8),
+    ("x11", r"except as contained in this notice, the names? of .{1,60}? shall not be used in advertising", "as contained in this notice", 6, 9),
+    ("isc", r"the software is provided \"?as is\"? and the author disclaims all warranties", "author disclaims", 6, 10),
+    ("0bsd", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\.", "for any purpose", 5, 7),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source", 6, 10),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary", 6, 10),
+    ("bsd-3-clause", r"neither the names? of .{1,80}? nor the names of (?:its|the) contributors may be used to endorse", "neither the name", 7, 10),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising materials", 7, 10),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|authors?) (?:and contributors )?\"?as is", "is provided by the", 6, 8),
+    ("apache", r"licensed under the apache license, version 2\.0 \(the \"?license\"?\)", "apache license", 7, 10),
+    ("apache", r"unless required by applicable law or agreed to in writing, software distributed under the license", "agreed to in writing", 6, 9),
+    ("apache", r"see the license for the specific language governing permissions and limitations", "governing permissions", 6, 9),
+    ("apache", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge", "no-charge", 6, 10),
+    ("gpl", r"either version \d(?:\.\d)? of the license, or \(?at your option\)? any later version", "any later version", 6, 8),
+    ("gpl", r"you should have received a copy of the gnu general public license", "you should have received", 6, 10),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license", "you should have received", 7, 10),
+    ("agpl", r"you should have received a copy of the gnu affero general public license", "you should have received", 7, 10),
+    ("gpl", r"but without any warranty; without even the implied warranty of merchantability", "without even the implied", 6, 8),
+    ("gpl-2.0", r"gnu general public license version 2, june 1991", "june 1991", 7, 10),
+    ("gpl-3.0", r"gnu general public license version 3, 29 june 2007", "29 june 2007", 7, 10),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim copies", 6, 9),
+    ("agpl", r"remote network interaction; use with the gnu general public license", "remote network interaction", 7, 10),
+    ("lgpl", r"this library is free software[:;] you can redistribute it", "this library is free", 7, 10),
+    ("mpl", r"if a copy of the mpl was not distributed with this file", "a copy of the mpl", 7, 10),
+    ("epl", r"the accompanying materials are made available under the terms of the eclipse public license", "accompanying materials", 7, 10),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public license", "accompanying program", 7, 10),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", "contents of this file", 7, 10),
+    ("artistic", r"you may make and give away verbatim copies of the (?:source form of the )?(?:standard version|package)", "make and give away", 6, 9),
+    ("boost", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization", 7, 10),
+    ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented", 6, 10),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered source versions", 6, 10),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "anyone is free to", 6, 10),
+    ("cc0", r"to the extent possible under law, .{1,120}? has waived all copyright and related", "has waived all copyright", 7, 10),
+    ("cc-by", r"you must give appropriate credit, provide a link to the license", "appropriate credit", 5, 8),
+    ("cc-by-sa", r"you must distribute your contributions under the same license as the original", "under the same license", 5, 8),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", "commercial purposes", 5, 8),
+    ("cc-by-nd", r"you may not distribute the modified material", "modified material", 5, 8),
+    ("ofl", r"this font software is licensed under the sil open font license", "font software", 7, 10),
+    ("ofl", r"with reserved font name", "reserved font name", 6, 9),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl project", 7, 10),
+    ("php", r"this product includes php software, freely available from", "includes php", 7, 10),
+    ("psf", r"psf is making python available to licensee on an \"?as is\"? basis", "making python available", 7, 10),
+    ("postgresql", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee", "and its documentation", 7, 9),
+    ("ms-pl", r"each contributor grants you a non-exclusive, worldwide, royalty-free copyright license", "royalty-free copyright", 6, 7),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license", "verbatim or modified copies", 6, 9),
+    ("beerware", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer", "buy me a beer", 7, 10),
+    ("bsl", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", "non-production use", 7, 10),
+    ("sspl", r"making the functionality of the program or modified version available to third parties as a service", "as a service", 7, 10),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", "managed service", 7, 10),
+    ("proprietary", r"unauthori[sz]ed (?:copying|reproduction|distribution) of this (?:file|document|software)", "unauthori", 4, 8),
+    ("proprietary", r"no part of this (?:publication|document|book) may be reproduced", "may be reproduced", 4, 8),
+    ("proprietary", r"(?:strictly|company) confidential", "confidential", 2, 5),
+    ("proprietary", r"for internal use only", "internal use only", 2, 5),
+    ("public-domain", r"this (?:work|file|program|text) is in the public domain", "public domain", 4, 8),
     ("copyright", r"copyright (?:\(c\)|\xc2\xa9)? ?(?:19|20)\d\d", "copyright", 1, 3),
 )
 

@@ -7,7 +7,8 @@ Bernoulli copy whose probability is the fraction of the rate.
 Defined results: a null text has size 0; a null source is a source of its own,
 ranked last; rows that are repeated are taken alike, as the draw depends only on
 doc_id (null: the empty string) and the seed; an empty table gives an empty
-result; extra columns are kept by ``mix`` and may have any name.
+result; extra columns are kept by ``mix``, but for those named like its own,
+which it replaces.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.staging import staged
+from loomstone.staging import Staged, if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 SEED = "mix-1"
 HEX_DIGITS = 13
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_source")
 
 
 def word_count(text: str = "text") -> Column:
@@ -88,13 +90,14 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     for counting and once for the result. The join is by source: the target
     side has one row per source, and null meets null.
     """
-    sized = docs.select("*", word_count().alias("mix_size"))
-    narrow = staged(sized.groupBy("source").agg(F.sum("mix_size").alias("size")), "mix-sizes")
-    targets = staged(source_targets(narrow), "mix-targets").select(
+    sized = docs.drop(*RESULTS).withColumn("mix_size", word_count())
+    narrow = Staged(sized.groupBy("source").agg(F.sum("mix_size").alias("size")), "mix-sizes")
+    targets = if_small(Staged(source_targets(narrow.df), "mix-targets")).select(
         F.col("source").alias("mix_source"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
     )
+    narrow.drop()
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     return joined.withColumn("mix_copies", copies(rate, F.col("doc_id"), seed))

@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-# Frequent function words of the four main languages.
+# Frequent function words of the four main languages.
 STOP_WORDS = (
     "the of and to in is that it was for on are as with be by at from or an this a "
     "de la le et les des du un une en est que qui dans pour par pas sur avec au "
@@ -144,3 +144,28 @@ OUTPUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 def verdicts(docs: DataFrame) -> DataFrame:
     """Digest columns of the rules for each document."""
     return apply_rules(docs).select(*OUTPUT)
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL of the same digest, from the same table of thresholds."""
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(STOP_WORDS)))
+    bounds = [f"{r.measure} >= {r.low}" for r in rules if r.low is not None] + [f"{r.measure} <= {r.high}" for r in rules if r.high is not None]
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+g AS (SELECT r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS g FROM (
+    SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM s WHERE len(w) > {WINDOW})),
+f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT j)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS j FROM f) GROUP BY r),
+b AS (SELECT s.r, doc_id, len(w)::BIGINT AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(t) - length(translate(t, '!', '')) AS n_shouts,
+    len(list_filter(w, lambda x: lower(x) IN ({words}))) AS n_stop_words, len(l) AS n_lines
+    FROM s LEFT JOIN c ON s.r = c.r),
+m AS (SELECT *, {ratio("word_chars", "n_words")} AS mean_word_chars, {ratio("n_symbols", "n_words")} AS symbols_per_word,
+    {ratio("n_shouts", "n_words")} AS shouts_per_word, {ratio("n_stop_words", "n_words")} AS stop_word_ratio,
+    {ratio("n_dup_lines", "n_lines")} AS dup_line_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM m
+"""

@@ -51,6 +51,7 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 CACHED_WORDS = 500_000
 SHARD_BYTES = 256 << 20
+BATCH_BYTES = 256 << 10
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -232,6 +233,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # ours stands before it
+            self.tokenizer.model._resize_cache(0)
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(pieces.values(), default=0) < 1 << 16 else "<u4"
         self.ends_word = np.zeros(max(pieces.values(), default=0) + 1, bool)
@@ -314,7 +317,7 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str = TOKENIZER) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, out = encoder(tokenizer).encode, None, None
-        for batch in bounded(batches):
+        for batch in bounded(batches, most=BATCH_BYTES):
             if writer is None:
                 shard = TaskContext.get().partitionId()
                 system, base = fs.FileSystem.from_uri(directory)

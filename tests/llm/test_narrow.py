@@ -1,5 +1,6 @@
 """Operators that read each text on its own, against brute force."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.llm import compression_quality, langid, license_scan, quality_rules, token_counts
 
@@ -66,13 +68,16 @@ def test_license_rules_are_many_and_suppress_contained_hits():
 
 
 def pieces_by_hand(word, first, later):
-    n, at = 0, 0
+    """Longest piece first; a word that no first piece begins starts with the empty one, if there is one."""
+    n, at, pool = 0, 0, first
     while at < len(word):
-        pool = later if at else first
         end = next((e for e in range(len(word), at, -1) if word[at:e] in pool), None)
+        if end is None and pool is first and b"" in first:
+            n, pool = 1, later
+            continue
         if end is None:
             return -1
-        at, n = end, n + 1
+        at, n, pool = end, n + 1, later
     return n
 
 
@@ -154,3 +159,179 @@ def test_quality_classifier_on_held_out_rows(spark):
     good, bad = ([r["score"] for r in found if r["quality"] == q] for q in (1, 0))
     wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
     assert wins >= 0.85 * len(good) * len(bad) > 0
+
+
+def test_gate_never_hides_a_detection():
+    """Texts made from every alternative of every rule are found alike with and without the keyword gate."""
+    rules = license_scan.signature_rules()
+    _, _, _, patterns, _ = license_scan._compiled()
+    texts = [t for rule in rules for t in examples(rule.pattern)]
+    assert len(texts) > 2 * len(rules)
+    for text in texts:
+        raw = f"word {text} word".encode("latin-1").lower()
+        every = [(m.start(), m.end(), k) for k, p in enumerate(patterns) for m in p.finditer(raw)]
+        assert every, text
+        assert license_scan.detect(raw) == license_scan.suppress(every, [r.priority for r in rules]), text
+
+
+def examples(pattern):
+    """Texts that a pattern matches: each alternative, with and without each optional part."""
+    import re._constants as c
+    import re._parser as parser
+
+    def grow(tokens):
+        found = [""]
+        for kind, value in tokens:
+            if kind is c.LITERAL:
+                parts = [chr(value)]
+            elif kind is c.IN:
+                parts = [next((chr(v) for k, v in value if k is c.LITERAL), None) or one_of(value)]
+            elif kind is c.NOT_LITERAL or kind is c.ANY:
+                parts = ["x"]
+            elif kind in (c.MAX_REPEAT, c.MIN_REPEAT):
+                low, high, inner = value
+                parts = [g * max(low, 1) for g in grow(inner)] + ([""] if low == 0 else [])
+            elif kind is c.SUBPATTERN:
+                parts = grow(value[3])
+            elif kind is c.BRANCH:
+                parts = [g for branch in value[1] for g in grow(branch)]
+            else:
+                parts = [""]
+            found = [f + p for f in found for p in parts][:40]
+        return found
+
+    def one_of(value):
+        kind, what = value[0] if value[0][0] is not c.NEGATE else (c.CATEGORY, c.CATEGORY_WORD)
+        return chr(what[0]) if kind is c.RANGE else "1" if what is c.CATEGORY_DIGIT else "x"
+
+    compiled = re.compile(f"(?:{pattern})$")
+    return [t for t in grow(parser.parse(pattern)) if compiled.match(t)]
+
+
+def test_labels_and_score_by_hand(spark):
+    texts = [(1, "released under the mozilla public license, version 2.0 and all rights reserved"), (2, "see the mit license"), (3, "nothing of the kind")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[1]["labels"], round(got[1]["score"], 9)) == ("mpl,proprietary", round(1 - (1 - 0.9) * (1 - 0.4), 9))
+    assert (got[2]["labels"], got[2]["n_base"], got[2]["first_word"]) == ("mit", 1, 2) and got[3]["labels"] == "" and got[3]["score"] == 0
+
+
+def verdict_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if len(words) < 10:
+        return False
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+    if 100 * len(covered) > 20 * len(words):
+        return False
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, n = sum(map(len, words)), len(words)
+    stops = sum(w.lower() in quality_rules.STOP_WORDS for w in words)
+    return 2 <= chars / n <= 20 and sum(text.count(c) for c in "#*$%&|<>") / n <= 0.1 and text.count("!") / n <= 0.1 and stops / n >= 0.05 and (len(lines) - len(set(lines))) / len(lines) <= 0.3
+
+
+def test_quality_verdicts_by_hand(spark, docs, rows):
+    more = ["the cat and the dog of it " * 1 + "one two three four!!", "a " * 30, "the of and to in is that it was for on are", "x" * 25 + " the of and" + " yyyyyyyyyyyyyyyyyyyyyyyyyyyyyyyy" * 9, "the #1 #2 #3 of and to in is that"]
+    texts = [(1000 + i, t) for i, t in enumerate(more)] + [(r[0], r[1]) for r in rows if r[0] is not None and len(r[1] or "") < 5000]
+    found = quality_rules.verdicts(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in found) == sorted((i, verdict_by_hand(t)) for i, t in texts)
+    assert {r["kept"] for r in found} == {True, False}
+
+
+def language_by_hand(texts, learned):
+    """Counts, word scores and best labels from dictionaries, one word after another."""
+    def words(text):
+        data = (text or "").encode()
+        return [m.group() for m in re.finditer(rb"[A-Za-z\x80-\xff]+", data)]
+
+    def grams(word):
+        low = [32, *(b + 32 if 65 <= b <= 90 else b for b in word), 32]
+        mask = 0xFFFFFFFF
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            mixed = ((a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (c * 0xC2B2AE3D & mask)) * 0x27D4EB2F & mask
+            yield mixed >> 17
+
+    script = lambda word: max(int(langid.SCRIPT[b]) for b in word)
+    langs = sorted({lang for _, lang in learned})
+    counts, scripts = {x: {} for x in langs}, {x: {} for x in langs}
+    for text, lang in learned:
+        for w in words(text):
+            scripts[lang][script(w)] = scripts[lang].get(script(w), 0) + 1
+            for g in grams(w):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {x: sum(counts[x].values()) for x in langs}
+    logs = lambda g, x: math.log((counts[x].get(g, 0) + 0.5) / (total[x] + 0.5 * langid.BUCKETS))
+    allowed = lambda s: [x for x in langs if scripts[x].get(s, 0) >= 0.01 * max(sum(scripts[x].values()), 1)] or langs
+    out = []
+    for text in texts:
+        found, best, paths = words(text), None, None
+        if not any(ch.isalpha() for ch in text or ""):
+            out.append(("und", 0.0))
+            continue
+        for w in found:
+            own = {x: sum(logs(g, x) for g in grams(w)) / math.sqrt(len(w)) if x in allowed(script(w)) else -1e4 for x in langs}
+            if best is None:
+                best, paths = own, {x: [x] for x in langs}
+                continue
+            top = max(langs, key=lambda x: best[x])
+            step, after = {}, {}
+            for x in langs:
+                came = x if best[x] >= best[top] - langid.SWITCH_PENALTY else top
+                step[x], after[x] = max(best[x], best[top] - langid.SWITCH_PENALTY) + own[x], paths[came] + [x]
+            best, paths = step, after
+        labels = paths[max(langs, key=lambda x: best[x])]
+        letters = {x: sum(len(w) for w, y in zip(found, labels, strict=True) if y == x) for x in langs}
+        pick = max(langs, key=lambda x: letters[x])
+        out.append((pick, letters[pick] / sum(letters.values())))
+    return out
+
+
+def test_language_predictions_by_hand(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(120).collect()
+    rows = [(r["doc_id"], (r["text"] or "")[:600], r["lang"]) for r in rows]
+    rows += [(10**6, "Привет мир, это русский текст", "ru"), (10**6 + 1, "the river " * 20 + "der Fluss und das Wasser " * 20, None), (10**6 + 2, "12 %", None), (10**6 + 3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, x) for i, t, x in rows if t is not None and x is not None and not held(i)]
+    expected = language_by_hand([t for _, t, _ in rows], learned)
+    got = {r["doc_id"]: r for r in langid.predictions(docs).collect()}
+    for (i, _, _), (lang, score) in zip(rows, expected, strict=True):
+        assert (got[i]["lang_pred"], round(got[i]["score"], 6), got[i]["held_out"]) == (lang, round(score, 6), held(i)), i
+
+
+def test_language_of_long_texts_in_parts(monkeypatch, spark, docs, no_docs):
+    model = langid.learn(docs)
+    texts = pa.array(["the river and the stone " * 60 + "ünd nicht für alle " * 60, "x" * 500, None, "word"])
+    whole = langid.predict_batch(texts, model)
+    monkeypatch.setattr(langid, "PART_BYTES", 64)
+    cut = langid.predict_batch(texts, model)
+    assert whole[0] == cut[0] and whole[1].tolist() == cut[1].tolist() and whole[2] == cut[2]
+    clash = docs.withColumn("lang_pred", F.lit(7)).withColumn("lang_score", F.lit("x"))
+    assert langid.identify(clash, model).columns == [*docs.columns, "lang_pred", "lang_score", "lang_spans"]
+    assert langid.learn(no_docs).langs == []
+
+
+def test_quality_scores_by_hand(spark, sf_dir):
+    """Sizes by fresh compressors, piece by piece, and the curve where its slope of likelihood is nought."""
+    import zstandard
+
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = compression_quality.learn(documents, labels)
+    sample = compression_quality.labelled_sample(documents, labels)
+    assert len(sample) > 20 and all(text for _, text in sample)
+
+    def size(text, content):
+        held = zstandard.ZstdCompressionDict(content)
+        return sum(len(zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text[i : i + 256])) for i in range(0, len(text), 256))
+
+    def by_hand(text):
+        gain = (size(text, model.bad) - size(text, model.good)) / len(text) if text else 0.0
+        return 1 / (1 + math.exp(-max(-30, min(30, model.slope * gain + model.offset))))
+
+    found = {r["doc_id"]: r for r in compression_quality.quality_scores(documents, labels).collect()}
+    for r in documents.limit(60).collect():
+        assert abs(found[r["doc_id"]]["score"] - by_hand((r["text"] or "").encode())) < 1e-9
+        assert found[r["doc_id"]]["predicted"] == int(found[r["doc_id"]]["score"] >= 0.3) and found[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    fitted = [(y, by_hand(t)) for label in (0, 1) for y, t in [s for s in sample if s[0] == label][1::2]]
+    assert abs(sum(y - p for y, p in fitted)) < 0.01 * len(fitted)
+    small = compression_quality.labelled_sample(documents, labels, most=20_000)
+    assert all(sum(len(t) for y, t in small if y == label) <= 20_000 for label in (0, 1))
