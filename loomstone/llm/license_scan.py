@@ -105,12 +105,12 @@ TEXTS = (
     ("mit", r"the software is provided \"?as is\"?, without warranty of any kind, express or implied", "as is", 6, 8),
     ("mit", r"the above copyright notice and this permission notice shall be included", "permission notice", 6, 10),
     ("mit-0", r"without restriction, including without limitation the rights to use, copy, modify", "without restriction", 5, 8),
-    ("x11", r"except as contained in this notice, the names? of .{1,60}? shall not be used in advertising", "as contained in this notice", 6, 9),
+    ("x11", r"except as contained in this notice, the names? of", "as contained in this notice", 6, 9),
     ("isc", r"the software is provided \"?as is\"? and the author disclaims all warranties", "author disclaims", 6, 10),
     ("0bsd", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\.", "for any purpose", 5, 7),
     ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source", 6, 10),
     ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary", 6, 10),
-    ("bsd-3-clause", r"neither the names? of .{1,80}? nor the names of (?:its|the) contributors may be used to endorse", "neither the name", 7, 10),
+    ("bsd-3-clause", r"nor the names of (?:its|the) contributors may be used to endorse", "nor the names", 7, 10),
     ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising materials", 7, 10),
     ("bsd", r"this software is provided by the (?:copyright holders|regents|authors?) (?:and contributors )?\"?as is", "is provided by the", 6, 8),
     ("apache", r"licensed under the apache license, version 2\.0 \(the \"?license\"?\)", "apache license", 7, 10),
@@ -136,7 +136,7 @@ TEXTS = (
     ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented", 6, 10),
     ("zlib", r"altered source versions must be plainly marked as such", "altered source versions", 6, 10),
     ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "anyone is free to", 6, 10),
-    ("cc0", r"to the extent possible under law, .{1,120}? has waived all copyright and related", "has waived all copyright", 7, 10),
+    ("cc0", r"has waived all copyright and related", "has waived all copyright", 7, 10),
     ("cc-by", r"you must give appropriate credit, provide a link to the license", "appropriate credit", 5, 8),
     ("cc-by-sa", r"you must distribute your contributions under the same license as the original", "under the same license", 5, 8),
     ("cc-by-nc", r"you may not use the material for commercial purposes", "commercial purposes", 5, 8),
