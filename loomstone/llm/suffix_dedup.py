@@ -200,7 +200,7 @@ def repeated_spans(texts: DataFrame) -> Staged:
     long = texts.where(F.octet_length("text") >= LENGTH)
     found = long.mapInArrow(_anchor_batches, "anchor long, doc long, key long, first int")
     again = Staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    marked = found.join(if_small(again), "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
+    marked = found.join(again.df, "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
     marks = Staged(marked, "anchor-places")
     again.drop()
     with_marks = long.join(if_small(marks, BROADCAST_BYTES), ["doc", "key"]).select("doc", "key", "text", "firsts")
