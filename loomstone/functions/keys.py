@@ -75,6 +75,27 @@ def decode_segments(key: bytes) -> list[bytes]:
     return parts
 
 
+def decoded_segments(key: Column) -> Column:
+    """The parts of a composite key as an array of binaries; a cut or unknown escape is an error."""
+    digits = F.hex(key)
+    # Zero bytes stand as pairs: 0000 ends a part, 00FF is a zero byte; all other bytes stand for themselves.
+    parts = F.regexp_extract_all(digits, F.lit("((?:(?!00)..|00FF)*)0000"), F.lit(1))
+    whole = F.octet_length(F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("0000"))), "")) == F.octet_length(digits)
+    plain = F.transform(parts, lambda p: F.unhex(F.replace(F.replace(F.regexp_replace(p, "(..)", "$1 "), F.lit("00 FF "), F.lit("00 ")), F.lit(" "), F.lit(""))))
+    return F.when(whole, plain).otherwise(F.raise_error(F.lit("not a composite key")).cast("array<binary>"))
+
+
+def debug_key(key: Column) -> Column:
+    """A key for people: text where all bytes are printable ASCII, else hexadecimal."""
+    text = F.decode(key, "ISO-8859-1")
+    return F.when(text.rlike("^[ -~]*$"), text).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(key))))
+
+
+def is_boundary(key: Column, value: Column, mean: int, seed: int = 0) -> Column:
+    """Whether a content-defined chunk ends behind a row: a hash of the row falls under a threshold, once in ``mean`` rows."""
+    return F.pmod(F.xxhash64(F.lit(seed), key, value), F.lit(mean)) == 0
+
+
 def printable(key: Column) -> Column:
     """Upper-case hexadecimal form of a key."""
     return F.hex(key)

@@ -29,6 +29,37 @@ def require_schema(enveloped: Column, schema: str, version: int) -> Column:
     return F.when(fits, enveloped["payload"]).otherwise(F.raise_error(F.lit(f"value isn't of schema {schema} version {version}")))
 
 
+def matches_schema(enveloped: Column, schema: str, version: int) -> Column:
+    """Whether an envelope names a schema and version."""
+    return (enveloped["schema"] == schema) & (enveloped["version"] == version)
+
+
+def envelope_bytes(enveloped: Column) -> Column:
+    """An envelope as bytes: JSON with the payload in base 64."""
+    text = F.struct(enveloped["schema"].alias("schema"), enveloped["version"].alias("version"), enveloped["encoding"].alias("encoding"), F.base64(enveloped["payload"].cast("binary")).alias("payload"))
+    return F.to_json(text).cast("binary")
+
+
+def envelope_of(value: Column) -> Column:
+    """The envelope in bytes; null where they aren't one."""
+    found = F.from_json(value.cast("string"), "schema string, version long, encoding string, payload string")
+    fields = [found[f].alias(f) for f in ("schema", "version", "encoding")]
+    return F.when(found["schema"].isNotNull(), F.struct(*fields, F.unbase64(found["payload"]).alias("payload")))
+
+
+def migrate(rows: DataFrame, column: str, steps: dict[int, Column], schema: str, newest: int) -> DataFrame:
+    """Payloads of enveloped values brought up to a version, one step for each older version on the way.
+
+    ``steps[n]`` makes the payload of version n + 1 from the column ``payload`` of version n.
+    """
+    out = rows.withColumn("version", F.col(column)["version"]).withColumn("payload", F.col(column)["payload"])
+    for version in sorted(v for v in steps if v < newest):
+        due = F.col("version") == version
+        out = out.withColumns({"payload": F.when(due, steps[version]).otherwise(F.col("payload")), "version": F.when(due, version + 1).otherwise(F.col("version"))})
+    done = F.when(F.col("version") == newest, F.col("payload")).otherwise(F.raise_error(F.lit(f"no way to version {newest}")).cast(dict(out.dtypes)["payload"]))
+    return out.withColumn(column, envelope(done, schema, newest)).drop("version", "payload")
+
+
 def with_timestamp(value: Column, micros: Column) -> Column:
     """Bytes of a value followed by its timestamp, 8 bytes big endian."""
     return F.concat(value.cast("binary"), F.unhex(F.lpad(F.hex(micros.cast("long")), 16, "0")))
@@ -54,6 +85,14 @@ def split_large(rows: DataFrame, threshold: int = INLINE_BYTES) -> tuple[DataFra
     return refs, blobs
 
 
+def reclaimable_blobs(blobs: DataFrame, *kept: DataFrame) -> DataFrame:
+    """Digests of blobs that no kept version's references name."""
+    live = kept[0].select("cid")
+    for refs in kept[1:]:
+        live = live.unionByName(refs.select("cid"))
+    return blobs.select("cid").join(live.dropna().distinct(), "cid", "left_anti")
+
+
 def join_large(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Keys with their values, wherever those are kept."""
     return refs.join(blobs, "cid", "left").select("key", F.coalesce("inline", "payload").alias("value"))

@@ -58,6 +58,22 @@ def update_wins(base: Column, left: Column, right: Column) -> tuple[Column, Colu
     return F.when(left.isNull() != right.isNull(), VALUE).otherwise(UNRESOLVED), F.coalesce(left, right)
 
 
+def use_base(base: Column, left: Column, right: Column) -> tuple[Column, Column]:
+    """The value before both changes, or its absence."""
+    return F.when(base.isNull(), DELETE).otherwise(VALUE), base
+
+
+def resolve_custom(merge_values: Callable[[Column, Column, Column], Column], on_delete: Resolver | None = None) -> Resolver:
+    """Two updates are merged by a function of columns (base, left, right); a deletion against an update goes to another rule, or stays."""
+
+    def resolve(base: Column, left: Column, right: Column) -> tuple[Column, Column]:
+        deleted = left.isNull() | right.isNull()
+        outcome, value = (on_delete or unresolved)(base, left, right)
+        return F.when(deleted, outcome).otherwise(VALUE), F.when(deleted, value).otherwise(merge_values(base, left, right))
+
+    return resolve
+
+
 def unresolved(base: Column, left: Column, right: Column) -> tuple[Column, Column]:
     """No rule: every conflict stays."""
     return F.lit(UNRESOLVED), F.lit(None)
@@ -68,6 +84,7 @@ RESOLVERS: dict[str, Resolver] = {
     "prefer_right": prefer_right,
     "delete_wins": delete_wins,
     "update_wins": update_wins,
+    "use_base": use_base,
     "unresolved": unresolved,
 }
 
@@ -130,6 +147,30 @@ def merge_range(base: DataFrame, left: DataFrame, right: DataFrame, key: str, va
     return left.where(~inside).select(key, value).unionByName(merged)
 
 
+def merge_prefix(base: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, prefix, resolver: Resolver = unresolved, strict: bool = True) -> DataFrame:
+    """The same for keys that start with a prefix."""
+    inside = F.startswith(F.col(key), F.lit(prefix))
+    merged = merge(base.where(inside), left.where(inside), right.where(inside), key, value, resolver, strict)
+    return left.where(~inside).select(key, value).unionByName(merged)
+
+
+def trace(base: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, resolver: Resolver = unresolved) -> DataFrame:
+    """Every key that a side changed, with all three values, the decision and what came of it."""
+    decided = decide(align(base, left, right, key, value), resolver)
+    changed = ~_same("left", "base") | ~_same("right", "base")
+    return decided.where(changed).select(key, "base", "left", "right", "decision", "merged")
+
+
+def crdt_explain(rows: DataFrame, keys: list[str], value: str, time: str) -> DataFrame:
+    """Last-writer-wins with its reason: the winner, how many writes it beat, and whether the value broke a tie of times."""
+    when = F.coalesce(F.col(time), F.lit(0))
+    grouped = rows.groupBy(*keys).agg(
+        F.max(F.struct(when.alias("t"), F.col(value).alias("v"))).alias("last"), F.count("*").alias("n"), F.max(when).alias("_top")
+    )
+    tied = rows.groupBy(*keys, when.alias("_top")).agg(F.count("*").alias("n_tied"))
+    return grouped.join(tied, [*keys, "_top"]).select(*keys, F.col("last.v").alias(value), F.col("last.t").alias(time), (F.col("n") - 1).alias("n_beaten"), (F.col("n_tied") > 1).alias("tied"))
+
+
 def explain(base: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, resolver: Resolver = unresolved) -> DataFrame:
     """Number of keys per decision."""
     return decide(align(base, left, right, key, value), resolver).groupBy("decision").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.operators.scan import in_range
@@ -32,9 +32,55 @@ def delete_range(base: DataFrame, key: str, start: Any, end: Any) -> DataFrame:
     return base.where(~in_range(key, start, end))
 
 
-def append(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows behind all existing keys: a union without a shuffle."""
-    return base.unionByName(rows)
+def append(base: DataFrame, rows: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows behind all existing keys: a union without a shuffle; with ``key``, a row that isn't behind them is an error."""
+    if key is None:
+        return base.unionByName(rows)
+    top = base.agg(F.max(key).alias("_top"))
+    low = F.when(F.col(key) <= F.col("_top"), F.raise_error(F.lit("a row isn't behind all keys"))).otherwise(F.col(key))
+    return base.unionByName(rows.join(F.broadcast(top)).withColumn(key, low).drop("_top"))
+
+
+def batch_stats(base: DataFrame, changes: DataFrame, key: str, op: str = "op", ordinal: str | None = None) -> DataFrame:
+    """What a batch does, as one row: changes given, keys touched, rows inserted, replaced, deleted, and left as they were."""
+    final = last_write_wins(changes, [key], [ordinal]) if ordinal else changes
+    values = [c for c in base.columns if c != key]
+    known = base.select(key, F.struct(*values).alias("_was")) if values else base.select(key, F.lit(1).alias("_was"))
+    met = final.withColumn("_new", F.struct(*values) if values else F.lit(1)).join(known, key, "left")
+    upsert, there = F.col(op) == "upsert", F.col("_was").isNotNull()
+    counts = {
+        "n_keys": F.lit(True), "n_inserted": upsert & ~there, "n_replaced": upsert & there & ~F.col("_new").eqNullSafe(F.col("_was")),
+        "n_deleted": ~upsert & there, "n_unchanged": (upsert & there & F.col("_new").eqNullSafe(F.col("_was"))) | (~upsert & ~there),
+    }
+    given = changes.agg(F.count("*").alias("n_input"))
+    return given.join(met.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]))
+
+
+TOMBSTONE = "struct<actor:string,millis:bigint,cause:map<string,string>>"
+
+
+def tombstone(actor: Column, millis: Column, cause: Column | None = None) -> Column:
+    """Who deleted a row, when, and what that rests on."""
+    known = cause if cause is not None else F.create_map().cast("map<string,string>")
+    return F.struct(actor.cast("string").alias("actor"), millis.cast("bigint").alias("millis"), known.alias("cause")).cast(TOMBSTONE)
+
+
+def tombstone_bytes(stone: Column) -> Column:
+    """A tombstone as bytes: a mark, then JSON."""
+    return F.concat(F.lit(b"tomb1:"), F.to_json(stone).cast("binary"))
+
+
+def tombstone_of(value: Column) -> Column:
+    """The tombstone in a stored value; null where the value is none."""
+    body = F.substring(value, F.lit(7), F.greatest(F.octet_length(value) - 6, F.lit(0)))
+    return F.when(F.substring(value, F.lit(1), F.lit(6)) == F.lit(b"tomb1:"), F.from_json(body.cast("string"), "actor string, millis bigint, cause map<string,string>"))
+
+
+def soft_delete(base: DataFrame, keys: DataFrame, key: str, stone: Column, deleted: str = "deleted") -> DataFrame:
+    """Rows of some keys get a tombstone; one that has an earlier or equal one keeps the later of both."""
+    hit = base.join(keys.select(key).withColumn("_hit", F.lit(True)), key, "left")
+    later = F.when(F.col(deleted).isNull() | (F.col(deleted)["millis"] < stone["millis"]), stone).otherwise(F.col(deleted))
+    return hit.withColumn(deleted, F.when(F.col("_hit"), later).otherwise(F.col(deleted))).select(*base.columns)
 
 
 def apply_patch(base: DataFrame, patch: DataFrame, key: str, value: str) -> DataFrame:
@@ -48,9 +94,11 @@ def apply_patch(base: DataFrame, patch: DataFrame, key: str, value: str) -> Data
     return joined.withColumn(value, checked).where(F.coalesce("kind", F.lit("")) != "removed").select(key, value)
 
 
-def compact_tombstones(rows: DataFrame, deleted: str = "deleted") -> DataFrame:
-    """Turn soft deletes into real ones."""
-    return rows.where(F.col(deleted).isNull()).drop(deleted)
+def compact_tombstones(rows: DataFrame, deleted: str = "deleted", before: int | None = None) -> DataFrame:
+    """Turn soft deletes into real ones, all of them or those from before a time; the column stays in the latter case."""
+    if before is None:
+        return rows.where(F.col(deleted).isNull()).drop(deleted)
+    return rows.where(F.col(deleted).isNull() | (F.col(deleted)["millis"] >= before))
 
 
 def build(entries: DataFrame, key: str, ordinal: str, partitions: int) -> DataFrame:
@@ -59,20 +107,25 @@ def build(entries: DataFrame, key: str, ordinal: str, partitions: int) -> DataFr
     return unique.repartitionByRange(partitions, key).sortWithinPartitions(key)
 
 
-ORDINALS_PER_BLOCK = 100_000
+ORDINALS_PER_BLOCK, BLOCKS_PER_GROUP = 100_000, 10_000
 
 
 def build_sorted(entries: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The same for sorted entries with whole-numbered ordinals; an entry below one before it is an error.
 
-    Order is judged within blocks of ordinals and between them: a running
-    greatest key over one row per block, so no task sees all entries.
+    Order is judged within blocks of ordinals, between the blocks of a group, and
+    between groups, by the greatest key so far; a task sees one block, or one row
+    per block of a group, or one row per group.
     """
     from pyspark.sql import Window
 
+    earlier = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
     blocks = entries.withColumn("_block", F.floor(F.col(ordinal) / ORDINALS_PER_BLOCK))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.groupBy("_block").agg(F.max(key).alias("_top")).select("_block", F.max("_top").over(earlier).alias("_before"))
+    tops = blocks.groupBy("_block").agg(F.max(key).alias("_top")).withColumn("_group", F.floor(F.col("_block") / BLOCKS_PER_GROUP))
+    groups = tops.groupBy("_group").agg(F.max("_top").alias("_most"))
+    before_group = groups.select("_group", F.max("_most").over(earlier(Window.orderBy("_group"))).alias("_below"))
+    in_group = tops.withColumn("_run", F.max("_top").over(earlier(Window.partitionBy("_group").orderBy("_block"))))
+    before = in_group.join(before_group, "_group").select("_block", F.coalesce(F.greatest("_run", "_below"), "_run", "_below").alias("_before"))
     within = Window.partitionBy("_block").orderBy(ordinal)
     checked = blocks.join(before, "_block").withColumn("_last", F.coalesce(F.lag(key).over(within), F.col("_before")))
     sorted_key = F.when(F.col(key) < F.col("_last"), F.raise_error(F.lit("entries aren't sorted"))).otherwise(F.col(key))

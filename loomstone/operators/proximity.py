@@ -89,12 +89,20 @@ def nearest_for_each(vectors: DataFrame, queries: DataFrame, key: str, vec: str,
 
 
 def choose_backend(n_rows: int, n_eligible: int | None, k: int, accelerators: tuple[str, ...] = (), exact: bool = False) -> str:
-    """Exact over a short key list, else native if exactness is asked for, else the first accelerator."""
+    """Exact over a short key list, else native if exactness is asked for, else the first accelerator; ``VectorMap.search`` runs the choice."""
     if n_eligible is not None and n_eligible <= max(k, min(EXACT_FLOOR, -(-n_rows * EXACT_SHARE // 1))):
         return "eligible_exact"
     return "native" if exact or not accelerators else accelerators[0]
 
 
+def cosine_similarity(a: Column, b: Column) -> Column:
+    """Cosine in single precision; 0 if either vector has no direction."""
+    fold = lambda pairs: F.aggregate(pairs, F.lit(0.0).cast("float"), lambda t, x: (t + x).cast("float"))
+    product = lambda x, y: fold(F.zip_with(x, y, lambda p, q: (p.cast("float") * q.cast("float")).cast("float")))
+    norms = (F.sqrt(product(a, a)).cast("float") * F.sqrt(product(b, b)).cast("float")).cast("float")
+    return F.when(norms == 0, F.lit(0.0).cast("float")).otherwise((product(a, b) / norms).cast("float"))
+
+
 def quantize_sq8(vec: Column) -> Column:
     """Scale and signed bytes of a vector: scale = max / 127, rounded half to even."""
     scale = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double")))) / 127.0
@@ -107,11 +115,17 @@ def dequantize(quantized: Column) -> Column:
     return F.transform(quantized["codes"], lambda c: (c.cast("double") * quantized["scale"]).cast("float"))
 
 
-def nearest_sq8(vectors: DataFrame, key: str, vec: str, query: list[float], k: int, rerank: int = 8) -> DataFrame:
-    """Approximate distances first, exact ones for the best k * rerank."""
+def encode_sq8(vectors: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, scale, codes): a quarter of the bytes of the vectors, to be stored beside them."""
+    return vectors.select(key, quantize_sq8(F.col(vec)).alias("q")).select(key, "q.scale", "q.codes")
+
+
+def nearest_sq8(codes: DataFrame, vectors: DataFrame, key: str, vec: str, query: list[float], k: int, rerank: int = 8) -> DataFrame:
+    """Approximate distances over stored codes, exact ones for the best k * rerank: only these rows of the vectors are used."""
     target = F.array(*[F.lit(float(x)).cast("float") for x in query])
-    rough = vectors.select(key, vec, squared_l2(dequantize(quantize_sq8(F.col(vec))), target).alias("rough"))
-    return nearest(rough.orderBy("rough", key).limit(k * rerank), key, vec, query, k)
+    rough = codes.select(key, squared_l2(dequantize(F.struct("scale", "codes")), target).alias("rough"))
+    best = rough.orderBy("rough", key).limit(k * rerank).select(key)
+    return nearest(vectors.join(F.broadcast(best), key, "left_semi"), key, vec, query, k)
 
 
 def train_cells(vectors: DataFrame, vec: str, cells: int, seed: int = 7):
@@ -186,3 +200,90 @@ def context_of(found: DataFrame, texts: DataFrame, key: str, text: str, separato
     """The texts of a search result as one string, nearest first; the result is bounded by its k."""
     parts = F.array_sort(F.collect_list(F.struct("distance", key, text)))
     return found.join(texts, key).agg(F.array_join(F.transform(parts, lambda p: p[text]), separator).alias("context"))
+
+
+# neighbour graphs
+
+
+DEGREE, ENTRIES, SHARD_ROWS = 16, 8, 4096
+
+
+def build_graph(vectors: DataFrame, key: str, vec: str, shards: int | None = None, degree: int = DEGREE) -> DataFrame:
+    """(shard, place, key, vec, links): a graph in each shard of at most about ``SHARD_ROWS`` rows.
+
+    A row links to its ``degree`` nearest rows of the shard, in both directions,
+    and to one drawn by hash, so that a walk reaches all parts. Shards are dealt
+    by hash of the key, so the graph depends on the rows only.
+    """
+    n = shards or max(1, -(-vectors.count() // SHARD_ROWS))
+    placed = vectors.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("shard"), F.col(key).alias("key"), F.col(vec).alias("vec"))
+
+    def link(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
+        points = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        squares, m, near = (points**2).sum(axis=1), len(points), []
+        for at in range(0, m, 512):
+            far = squares[at : at + 512, None] + squares[None, :] - 2 * points[at : at + 512] @ points.T
+            far[np.arange(len(far)), np.arange(at, at + len(far))] = np.inf
+            near.append(np.argsort(far, axis=1, kind="stable")[:, : min(degree, m - 1)])
+        links = [set(row.tolist()) for row in np.concatenate(near)]
+        for i in range(m):
+            for j in list(links[i]):
+                links[j].add(i)
+            links[i].add((i * 2654435761 + 97) % m)
+        pdf["place"] = np.arange(m, dtype=np.int32)
+        pdf["links"] = [np.array(sorted(x - {i}), dtype=np.int32) for i, x in enumerate(links)]
+        return pdf[["shard", "place", "key", "vec", "links"]]
+
+    kind = dict(vectors.dtypes)[key]
+    return placed.groupBy("shard").applyInPandas(link, f"shard int, place int, key {kind}, vec array<float>, links array<int>")
+
+
+def adaptive_should_stop(best: float, next_: float, width: int, ef: int, slack: float = 0.0) -> bool:
+    """Whether a best-first walk may end: it has ``ef`` results and the next place is further than the worst of them, by a slack."""
+    return width >= ef and next_ > best * (1.0 + slack)
+
+
+def nearest_in_graph(graph: DataFrame, query: list[float], k: int, ef: int = 64, most_visits: int | None = None) -> DataFrame:
+    """(key, distance) of the k nearest by walks, one in each shard, by squared distance.
+
+    A walk keeps the ``ef`` best places seen and goes on from the nearest one not
+    yet left; ``most_visits`` bounds the places scored in each shard.
+    """
+
+    def walk(pdf):
+        import heapq
+
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("place", kind="stable")
+        points, links, target = np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["links"].to_numpy(), np.array(query)
+        m = len(points)
+        start = sorted({i * m // ENTRIES for i in range(ENTRIES)})
+        score = lambda at: ((points[at] - target) ** 2).sum(axis=1)
+        seen, ahead, kept = set(start), [], []
+        for d, i in zip(score(start).tolist(), start, strict=True):
+            heapq.heappush(ahead, (d, i))
+            heapq.heappush(kept, (-d, i))
+        while ahead:
+            d, i = heapq.heappop(ahead)
+            if adaptive_should_stop(-kept[0][0], d, len(kept), ef) or most_visits is not None and len(seen) >= most_visits:
+                break
+            new = [j for j in links[i] if j not in seen]
+            seen.update(new)
+            for d, j in zip(score(new).tolist() if new else [], new, strict=True):
+                if len(kept) < ef or d < -kept[0][0]:
+                    heapq.heappush(ahead, (d, j))
+                    heapq.heappush(kept, (-d, j))
+                    if len(kept) > ef:
+                        heapq.heappop(kept)
+        keys = pdf["key"].to_numpy()
+        found = sorted((-d, keys[i]) for d, i in kept)[:k]
+        return pd.DataFrame({"key": [x for _, x in found], "distance": [d for d, _ in found]})
+
+    kind = dict(graph.dtypes)["key"]
+    found = graph.groupBy("shard").applyInPandas(walk, f"key {kind}, distance double")
+    return found.orderBy("distance", "key").limit(k)

@@ -63,3 +63,10 @@ def term_overlap(rows: DataFrame, key: str, text: str, query: str, limit: int) -
     terms = sorted({t for t in query.lower().split() if t})
     score = sum((F.contains(F.lower(F.col(text)), F.lit(t)).cast("int") for t in terms), F.lit(0)).cast("bigint")
     return rows.select(key, score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), key).limit(limit)
+
+
+def summary_index(rows: DataFrame, pk: str, terms: dict[str, Column]) -> DataFrame:
+    """(term, value, n_rows, first_pk, last_pk) of each named term: a summary rebuilt from the rows, by partial aggregation."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), c.cast("string").alias("value")) for n, c in terms.items()])).alias("t")
+    flat = rows.select(F.col(pk).alias("pk"), pairs).where(F.col("t.value").isNotNull())
+    return flat.groupBy("t.term", "t.value").agg(F.count("*").alias("n_rows"), F.min("pk").alias("first_pk"), F.max("pk").alias("last_pk"))

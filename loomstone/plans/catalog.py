@@ -299,7 +299,8 @@ def key_segments(spark, sf_dir):
 @query(
     """SELECT count(*)::BIGINT AS n_entries, min(octet_length(encode(doc_id::VARCHAR)))::BIGINT AS key_min_bytes, max(octet_length(encode(doc_id::VARCHAR)))::BIGINT AS key_max_bytes,
        sum(octet_length(encode(doc_id::VARCHAR)))::BIGINT AS key_total_bytes, min(octet_length(encode(text)))::BIGINT AS value_min_bytes,
-       max(octet_length(encode(text)))::BIGINT AS value_max_bytes, sum(octet_length(encode(text)))::BIGINT AS value_total_bytes FROM documents"""
+       max(octet_length(encode(text)))::BIGINT AS value_max_bytes, sum(octet_length(encode(text)))::BIGINT AS value_total_bytes,
+       avg(octet_length(encode(doc_id::VARCHAR))) AS key_avg_bytes, avg(octet_length(encode(text))) AS value_avg_bytes FROM documents"""
 )
 def tree_stats(spark, sf_dir):
     return scan.stats(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.col("text"))
@@ -556,17 +557,19 @@ def knn_filtered(spark, sf_dir):
 
 @query(
     f"""SELECT query, vec_id, round(d, 9) + 0.0 AS distance, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id)::INT AS n FROM (
-        SELECT q.vec_id AS query, e.vec_id, list_sum({L2}) AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q)) WHERE n <= 5"""
+        SELECT q.vec_id AS query, e.vec_id, list_sum({L2}) AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE n <= 5"""
 )
 def knn_batch(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    queries_ = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("target"))
+    queries_ = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("target"))
     return _rounded(proximity.nearest_for_each(vectors, queries_, "vec_id", "embedding", 5))
 
 
 @query()
 def knn_sq8(spark, sf_dir):
-    return _rounded(proximity.nearest_sq8(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 10))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    codes = staged(proximity.encode_sq8(vectors, "vec_id", "embedding"), "sq8-codes")
+    return _rounded(proximity.nearest_sq8(codes, vectors, "vec_id", "embedding", _query_vector(spark, sf_dir), 10))
 
 
 @query()
@@ -629,10 +632,10 @@ def json_round_trip(spark, sf_dir):
     return rows.select("event_id", values.decode_json(F.col("value"), "event_type string, user_id bigint").alias("d")).select("event_id", "d.event_type", "d.user_id")
 
 
-@query("SELECT user_id, event_type AS value, epoch_us(ts) AS micros FROM events WHERE event_id < 500")
+@query("SELECT user_id, event_type AS value, epoch_us(ts) AS micros FROM events")
 def timestamped_values(spark, sf_dir):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, sf_dir, "events").where("event_id < 500").select("user_id", values.with_timestamp(F.col("event_type"), micros).alias("s"))
+    rows = table(spark, sf_dir, "events").select("user_id", values.with_timestamp(F.col("event_type"), micros).alias("s"))
     return rows.select("user_id", values.bytes_of(F.col("s")).cast("string").alias("value"), values.timestamp_of(F.col("s")).alias("micros"))
 
 
@@ -655,7 +658,7 @@ def _walk(name: str, start: int) -> str:
 
 @query(f"WITH RECURSIVE {EDGES}, {_walk('w', 20)} SELECT id, min(depth) AS depth FROM w GROUP BY id ORDER BY 2, 1 LIMIT 12")
 def history_log(spark, sf_dir):
-    return history.ancestors(spark, _edges(spark, sf_dir), "20").orderBy("depth", "id").limit(12)
+    return history.log(spark, _edges(spark, sf_dir), "20", 12)
 
 
 @query(f"WITH RECURSIVE {EDGES}, {_walk('a', 21)}, {_walk('b', 18)}, x AS (SELECT id, min(depth) AS d FROM a GROUP BY id), y AS (SELECT id, min(depth) AS d FROM b GROUP BY id) SELECT id, x.d AS d_a, y.d AS d_b, id AS generation FROM x JOIN y USING (id) ORDER BY id DESC LIMIT 1")
@@ -689,15 +692,15 @@ def fk_violation(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir, where):
-    return table(spark, sf_dir, "part").where(where).select(F.sha2(F.col("p_name"), 256).alias("cid"))
+    return table(spark, sf_dir, "part").where(where).select(F.sha2(F.concat(F.col("p_partkey").cast("string"), "p_name"), 256).alias("cid"))
 
 
-@query("SELECT DISTINCT sha256(p_name) AS cid FROM part WHERE sha256(p_name) NOT IN (SELECT sha256(p_name) FROM part WHERE p_partkey % 3 = 0)")
+@query("SELECT DISTINCT sha256(p_partkey || p_name) AS cid FROM part WHERE p_partkey % 3 <> 0")
 def sync_missing(spark, sf_dir):
     return integrity.missing(_chunks(spark, sf_dir, "true"), _chunks(spark, sf_dir, "p_partkey % 3 = 0"))
 
 
-@query("SELECT DISTINCT sha256(p_name) AS cid FROM part WHERE p_size > 10 AND sha256(p_name) NOT IN (SELECT sha256(p_name) FROM part WHERE p_partkey % 2 = 0)")
+@query("SELECT DISTINCT sha256(p_partkey || p_name) AS cid FROM part WHERE p_size > 10 AND p_partkey % 2 <> 0")
 def gc_reclaimable(spark, sf_dir):
     return integrity.reclaimable(_chunks(spark, sf_dir, "p_size > 10"), _chunks(spark, sf_dir, "p_partkey % 2 = 0"))
 

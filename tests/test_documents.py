@@ -86,7 +86,7 @@ def test_quantized_and_cell_search_recall(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     query = vectors.orderBy("vec_id").first()["embedding"]
     exact = {r["vec_id"] for r in proximity.nearest(vectors, "vec_id", "embedding", query, 10).collect()}
-    rough = {r["vec_id"] for r in proximity.nearest_sq8(vectors, "vec_id", "embedding", query, 10).collect()}
+    rough = {r["vec_id"] for r in proximity.nearest_sq8(proximity.encode_sq8(vectors, "vec_id", "embedding"), vectors, "vec_id", "embedding", query, 10).collect()}
     assert len(exact & rough) >= 9
     model = proximity.train_cells(vectors, "embedding", 4)
     assigned = proximity.assign_cells(vectors, "embedding", model)

@@ -99,7 +99,7 @@ def test_random_histories(spark):
         assert as_dict(mutate.apply_patch(a, change, "k", "v")) == new
         assert sorted(map(tuple, diff.pruned_diff(a, b, "k", "v", 7).collect())) == sorted(map(tuple, change.collect()))
         assert as_dict(merge.merge(a, b, a, "k", "v")) == new == as_dict(merge.merge(a, a, b, "k", "v"))
-        assert diff.content_digest(b).first() == diff.content_digest(mutate.apply_patch(a, change, "k", "v")).first()
+        assert diff.content_digest(b) == diff.content_digest(mutate.apply_patch(a, change, "k", "v"))
 
 
 def test_patch_of_another_base_fails(spark):
@@ -141,3 +141,52 @@ def test_batches(spark):
     changes = spark.createDataFrame([(1, "x", "upsert", 1), (1, None, "delete", 2), (3, "c", "upsert", 1), (9, None, "delete", 1)], "k long, v string, op string, n int")
     assert as_dict(mutate.apply_batch(base, changes, "k", ordinal="n")) == {2: "b", 3: "c"}
     assert as_dict(mutate.delete_range(base, "k", 2, 1)) == {1: "a", 2: "b"}
+
+
+def test_null_is_no_value(spark):
+    """A null, the text NUL and an empty text differ, in digests and in differences, also by column."""
+    sides = [frame(spark, [(1, v)]) for v in (None, "\x00", "")]
+    assert len({diff.content_digest(s) for s in sides}) == 3
+    for a in sides:
+        for b in sides:
+            assert diff.pruned_diff(a, b, "k", "v").count() == diff.diff_versions(a, b, ["k"], "v").count() == (a is not b)
+    two = "k long, a string, b string"
+    assert diff.content_digest(spark.createDataFrame([(1, "x", None)], two)) != diff.content_digest(spark.createDataFrame([(1, None, "x")], two))
+    assert diff.content_digest(sides[2]) != diff.content_digest(sides[2].withColumnRenamed("v", "w"))
+
+
+def test_composite_keys_are_decoded(spark):
+    from loomstone.functions import keys
+
+    parts = [(b"a\x00b", b""), (b"\x00\xff", b"\xff\x00\x00"), (b"plain", b"x")]
+    rows = spark.createDataFrame(parts, "a binary, b binary")
+    got = rows.select(keys.decoded_segments(keys.segments(rows["a"], rows["b"]))).collect()
+    assert [tuple(map(bytes, r[0])) for r in got] == parts
+    with pytest.raises(Exception, match="not a composite key"):
+        spark.createDataFrame([(b"a\x00",)], "k binary").select(keys.decoded_segments(F.col("k"))).collect()
+
+
+def test_tombstones(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string").withColumn("deleted", F.lit(None).cast(mutate.TOMBSTONE))
+    gone = mutate.soft_delete(rows, rows.where("k < 3").select("k"), "k", mutate.tombstone(F.lit("ann"), F.col("k") * 10))
+    later = mutate.soft_delete(gone, gone.where("k = 2").select("k"), "k", mutate.tombstone(F.lit("bob"), F.lit(5)))
+    assert [(r["k"], r["deleted"] and r["deleted"]["actor"]) for r in later.orderBy("k").collect()] == [(1, "ann"), (2, "ann"), (3, None)]
+    assert [r["k"] for r in mutate.compact_tombstones(later).collect()] == [3]
+    assert sorted(r["k"] for r in mutate.compact_tombstones(later, before=20).collect()) == [2, 3]
+    stone = later.select(mutate.tombstone_of(mutate.tombstone_bytes(F.col("deleted"))).alias("d"), "deleted").where("deleted is not null").first()
+    assert stone["d"] == stone["deleted"] and rows.select(mutate.tombstone_of(F.col("v").cast("binary"))).first()[0] is None
+
+
+def test_sorted_builds_and_appends_refuse_disorder(spark, monkeypatch):
+    monkeypatch.setattr(mutate, "ORDINALS_PER_BLOCK", 3)
+    monkeypatch.setattr(mutate, "BLOCKS_PER_GROUP", 2)
+    rows = [(o * 4, k, str(o)) for o, k in enumerate([1, 2, 2, 3, 5, 8, 8, 9, 11, 12])]
+    build = lambda rows: mutate.build_sorted(spark.createDataFrame(rows, "o long, k int, v string").repartition(3), "k", "o")
+    assert as_dict(build(rows)) == {k: v for _, k, v in rows}
+    for i in range(1, 10):
+        with pytest.raises(Exception, match="aren't sorted"):
+            build([(o, 0 if n == i else k, v) for n, (o, k, v) in enumerate(rows)]).collect()
+    base = frame(spark, [(1, "a"), (5, "b")])
+    assert as_dict(mutate.append(base, frame(spark, [(6, "c")]), "k")) == {1: "a", 5: "b", 6: "c"}
+    with pytest.raises(Exception, match="behind all keys"):
+        mutate.append(base, frame(spark, [(5, "c")]), "k").collect()
