@@ -164,13 +164,13 @@ class Parser:
             if name.startswith("attribute_") and name != "attribute_type":
                 self.take(")")
                 return first.isNotNull() if name == "attribute_exists" else first.isNull()
-            kind = self.kind
+            kind, in_set = self.kind, self.in_set
             self.take(",")
             second = self.operand()
             self.take(")")
             if name == "attribute_type":
                 # The tag is a constant of the column, so only presence is left to each row.
-                return first.isNotNull() & (F.lit(type_code(kind, self.in_set)) == second) if kind is not None else F.lit(False)
+                return first.isNotNull() & (F.lit(type_code(kind, in_set)) == second) if kind is not None else F.lit(False)
             if name == "contains" and isinstance(kind, T.ArrayType):
                 return _known(F.array_contains(first, second.cast(kind.elementType)))
             return _known(F.startswith(first, second) if name == "begins_with" else F.contains(first, second))
@@ -437,8 +437,9 @@ def _edited_list(column: Column, kind: T.ArrayType, edits: dict[int, list]) -> C
 
     kept = F.filter(F.transform(column, place), lambda p: ~p["i"].isin(gone) if gone else F.lit(True))
     behind = [F.when(F.size(column) <= at, new) for at, new in sorted(changed.items())]
-    tail = F.filter(F.array(*behind), lambda x: x.isNotNull()) if behind else F.array().cast(kind)
-    return F.concat(F.transform(kept, lambda p: p["x"]), tail.cast(kind))
+    loose = T.ArrayType(kind.elementType, True)
+    tail = F.filter(F.array(*behind), lambda x: x.isNotNull()) if behind else F.array()
+    return F.concat(F.transform(kept, lambda p: p["x"]), tail.cast(loose))
 
 
 def set_union(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,12 @@ def reclaimable(candidates: DataFrame, reachable: DataFrame, cid: str = "cid") -
     return missing(candidates, reachable, cid)
 
 
-def chunk_digests(rows: DataFrame, key: str, columns: list[str], buckets: int) -> DataFrame:
-    """SHA-256 of each key bucket's rows in key order; a bucket is small by the choice of their number."""
-    line = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    lines = rows.select(bucket.alias("bucket"), F.struct(F.col(key), line.alias("h")).alias("row"))
+def chunk_digests(rows: DataFrame, key: str, columns: list[str], buckets: int, bucket: Column | None = None) -> DataFrame:
+    """SHA-256 of each bucket's rows in key order, by hash of the key or a given column; a bucket is small by the choice of their number."""
+    told = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
+    line = F.sha2(F.concat_ws("\x1f", *told), 256)
+    number = F.pmod(F.xxhash64(key), F.lit(buckets)) if bucket is None else bucket
+    lines = rows.select(number.alias("bucket"), F.struct(F.col(key), line.alias("h")).alias("row"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["h"]), "")
     return lines.groupBy("bucket").agg(F.sha2(ordered, 256).alias("cid"), F.count("*").alias("n_rows"))
 

@@ -705,15 +705,6 @@ def gc_reclaimable(spark, sf_dir):
     return integrity.reclaimable(_chunks(spark, sf_dir, "p_size > 10"), _chunks(spark, sf_dir, "p_partkey % 2 = 0"))
 
 
-@query(
-    """SELECT n_regionkey AS bucket, sha256(string_agg(sha256(n_nationkey || chr(31) || n_name), '' ORDER BY n_nationkey)) AS cid, count(*)::BIGINT AS n_rows FROM nation GROUP BY 1"""
-)
-def chunk_digest(spark, sf_dir):
-    line = F.sha2(F.concat_ws("\x1f", F.col("n_nationkey").cast("string"), "n_name"), 256)
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("h")))), lambda r: r["h"]), "")
-    return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("bucket")).agg(F.sha2(ordered, 256).alias("cid"), F.count("*").alias("n_rows"))
-
-
 # objects
 
 
@@ -770,9 +761,12 @@ def object_merge(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
+    from loomstone.plans import surfaces  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that have one."""
+    queries()
     return dict(SQL)
