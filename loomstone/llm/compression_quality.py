@@ -107,20 +107,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     texts = docs.select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("tie")).where(F.col("text").isNotNull())
-    order, found = [F.xxhash64("doc_id"), "doc_id", "tie"], []
+    order, taken = [F.xxhash64("doc_id"), "doc_id", "tie"], []
     for label in (0, 1):
         ids = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        sized = texts.select("doc_id", "n", "tie").join(F.broadcast(ids), "doc_id").orderBy(*order).limit(rows)
-        taken, left = [], most
-        for r in sized.select("doc_id", "tie", "n").collect():
+        left = most
+        for r in texts.select("doc_id", "n", "tie").join(F.broadcast(ids), "doc_id").orderBy(*order).limit(rows).collect():
             if r["n"] <= left:
                 left -= r["n"]
-                taken.append((r["doc_id"], r["tie"]))
-        if taken:
-            wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id long, tie long")
-            picked = texts.join(F.broadcast(wanted), ["doc_id", "tie"]).orderBy(*order).limit(len(taken))
-            found += [(label, r["text"].encode()) for r in picked.select("text").collect()]
-    return found
+                taken.append((label, len(taken), r["doc_id"], r["tie"]))
+    if not taken:
+        return []
+    wanted = docs.sparkSession.createDataFrame(taken, "label int, place int, doc_id long, tie long")
+    # Rows that repeat id and text are alike, so one of them stands for each place.
+    picked = texts.join(F.broadcast(wanted), ["doc_id", "tie"]).groupBy("place", "label").agg(F.min("text").alias("text"))
+    return [(r["label"], r["text"].encode()) for r in picked.orderBy("place").collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> CompressionModel:

@@ -29,8 +29,13 @@ def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+ARROW_BYTES, ARROW_DEFAULT, ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound the batches that they get by bytes, unless the session does."""
+    if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT).rstrip("b") == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, ARROW_BOUND)
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
