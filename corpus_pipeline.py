@@ -20,6 +20,7 @@ ORACLE_SQL = None
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The texts, what operators read, and all other columns in one struct, so that no name can clash."""
+    ready(docs.sparkSession)
     others = [docs[c] for c in docs.columns if c != "text"]
     return docs.select(F.struct(*others).alias("row"), "text", "doc_id", "lang", "source")
 
@@ -35,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows fare alike; without rows nothing is learned and nothing returned;
     columns keep their names whatever they are.
     """
-    found = langid.identify(_packed(docs).select("row", "text"), langid.learn(docs))
+    packed = _packed(docs)
+    found = langid.identify(packed.select("row", "text"), langid.learn(packed))
     known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_SHARE)
     return _unpacked(found.where(known), docs.columns)
 
@@ -47,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat id and text, the first in the order of their other columns
     stays. Different texts under one id are judged apart. An empty table stays empty.
     """
-    first = minhash.representatives(docs)
+    first = minhash.representatives(_packed(docs).select("doc_id", "text"))
     keys = ["want_id", "want_key", "want_key_b"]
     wanted = if_small(first).select(F.col("doc_id").alias(keys[0]), F.col("text_key").alias(keys[1]), F.col("key_b").alias(keys[2]), "rows")
     packed = _packed(docs).select("row", "text", "doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("key_b"))
@@ -87,7 +89,7 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text has the end id only; rows that repeat an id each have an
     entry; without rows there are no shards.
     """
-    return sstable.token_rows(docs)
+    return sstable.token_rows(_packed(docs).select("doc_id", "text"))
 
 
 STAGES = [
