@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomstone import inspect as inspection
 from loomstone.functions import cbor, conditions, decimals, keys, values
 from loomstone.operators import content, diff, index, integrity, merge, mutate, proofs, proximity, scan, views
 from loomstone.plans.catalog import DIFF, L2, QUERY, VERSIONS, _events, _merge_sql, _orders, _query_vector, _three, query
@@ -253,6 +254,32 @@ def store_edit(spark, sf_dir):
     return store.snapshot(store.edit(lambda rows: rows.withColumn("v", F.lower("v")))[1].id)
 
 
+@query("SELECT 8 AS n_segments, (SELECT count(*) FROM orders)::BIGINT AS n_rows, 7 AS shared, 1 AS only_old, 1 AS only_new, 1 AS n_spans, 0 AS damaged")
+def inspection_report(spark, sf_dir):
+    """What the inspection tool says of a version, of its difference to the next, and of the whole store."""
+    store = _store(spark)
+    first = store.write(base_version(spark, sf_dir), partitions=8)
+    store.compare_and_swap("main", None, first.id)
+    second = store.put({"k": base_version(spark, sf_dir).agg(F.max("k")).first()[0], "v": "changed"})[1]
+    said, both = inspection.stats(store, first.id), inspection.compare(store, first.id, second.id)
+    spans, lines = inspection.changed_spans(store, first.id, second.id), inspection.to_text(store, first.id).splitlines()
+    row = (len(lines) - 1, said["n_rows"], both["shared"], both["only_old"], both["only_new"], len(spans), len(inspection.verify(store)))
+    return spark.createDataFrame([row], "n_segments int, n_rows long, shared int, only_old int, only_new int, n_spans int, damaged int")
+
+
+@query("SELECT true AS fits")
+def chunk_boundaries(spark, sf_dir):
+    """Content-defined chunks: a row that is changed moves no boundary but its own, and about one row in 64 ends a chunk."""
+    rows = base_version(spark, sf_dir)
+    ends = rows.where(keys.is_boundary(F.col("k"), F.col("v"), 64)).select("k")
+    other = rows.withColumn("v", F.when(F.col("k") == 1, "changed").otherwise(F.col("v")))
+    moved = other.where(keys.is_boundary(F.col("k"), F.col("v"), 64)).select("k")
+    n, total = ends.count(), rows.count()
+    apart = ends.exceptAll(moved).unionByName(moved.exceptAll(ends)).where("k <> 1").count()
+    fits = total / 128 < n < total / 32 and not apart
+    return spark.createDataFrame([(fits,)], "fits boolean")
+
+
 # sessions
 
 
