@@ -31,7 +31,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -256,7 +256,7 @@ class WordEncoder:
         return CHUNK.findall(text)
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
+        plain = list(filter(str.isalpha, words))
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -266,7 +266,7 @@ class WordEncoder:
                 self._store(part, ids, np.concatenate(([0], cuts)))
             else:
                 self._learn_by_offsets(part)
-        self._learn_by_offsets([w for w in words if not w.isalpha()])
+        self._learn_by_offsets(list(filterfalse(str.isalpha, words)))
 
     def _learn_by_offsets(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
@@ -279,7 +279,7 @@ class WordEncoder:
     def _store(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
         raw, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
         at = (cuts * width).tolist()
-        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
+        self.cache.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The stored value of each text: its ids and the end id."""
@@ -288,8 +288,8 @@ class WordEncoder:
         split = [self.chunks(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.cache)
         known = new & self.older.keys()
-        self.cache.update((w, self.older[w]) for w in known)
-        self._learn(sorted(new - known))
+        self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(list(new - known))
         ids_of = self.cache.__getitem__
         found = [map(ids_of, words) for words in split]
         last = np.array([end], "<u4")
