@@ -67,6 +67,11 @@ def changed_spans(store: VersionStore, old: str, new: str) -> list[tuple[str | N
     return sorted({(s.low, s.high) for v in (a, b) for s in v.segments if s.content not in shared}, key=repr)
 
 
+def cache_usage(spark: SparkSession) -> list[tuple[str, int, int]]:
+    """(name, bytes in memory, bytes on disk) of what sessions keep on the cluster."""
+    return [(r.name(), r.memSize(), r.diskSize()) for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()]
+
+
 def main(arguments: list[str]) -> int:
     root, key, command, *rest = arguments
     store = VersionStore(SparkSession.builder.getOrCreate(), root, key)

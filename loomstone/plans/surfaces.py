@@ -17,7 +17,7 @@ from loomstone.sources import connectors
 from loomstone.sources.documents import DocumentDatabase, DocumentTable
 from loomstone.sources.indexed import Definition, IndexedStore
 from loomstone.sources.repository import ObjectRepository
-from loomstone.sources.session import Catalog, ReadSession, WriteSession
+from loomstone.sources.session import Catalog, ReadSession, TypedMap, WriteSession
 from loomstone.sources.sql import SqlDatabase
 from loomstone.sources.store import VersionStore
 from loomstone.sources.vectors import SearchRequest, VectorMap
@@ -324,6 +324,29 @@ def read_session_scan(spark, sf_dir):
     return _rows(spark, found, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
+@query("SELECT o_orderkey AS k, lower(o_orderstatus) AS v, length(o_orderstatus)::INT AS n FROM orders WHERE o_orderkey IN (1, 5, 9) UNION ALL SELECT -3, 'new', 3")
+def typed_map(spark, sf_dir):
+    """Values as objects through a codec, migrated as one version, and read through a callback."""
+    store = _store(spark)
+    store.commit(base_version(spark, sf_dir))
+    typed = TypedMap(store, "v", lambda x: x["status"], lambda x: {"status": x})
+    typed.migrate_from(F.lower)
+    typed.put(-3, {"status": "new"})
+    with ReadSession(store) as session:
+        sizes = session.get_many_with([-3, 1, 5, 9], lambda r: len(r["v"]))
+    found = [(k, typed.get(k), n) for k, n in zip([-3, 1, 5, 9], sizes, strict=True)]
+    return spark.createDataFrame([(k, v["status"], n) for k, v, n in found if v], "k long, v string, n int")
+
+
+@query("SELECT 'a' AS v, 1::BIGINT AS k, 0::BIGINT AS rows_at_first, true AS kept")
+def store_initialize(spark, sf_dir):
+    """An empty first version, then a row; the empty one stays."""
+    store = _store(spark)
+    first = store.initialize(KV)
+    store.put({"k": 1, "v": "a"})
+    return store.snapshot(store.head()).select("v", "k", F.lit(first.n_rows).cast("long").alias("rows_at_first"), F.lit(store.has(first.id)).alias("kept"))
+
+
 @query("SELECT 'customer' AS name, count(*)::BIGINT AS n FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'nation', count(*) FROM nation")
 def catalog_commit(spark, sf_dir):
     """Two tables moved at once; a second call with the same token changes nothing."""

@@ -123,6 +123,14 @@ class ReadSession:
         """Rows in the order of their keys, None where one is missing."""
         return self.store.get_many_at(self.version, keys)
 
+    def get_with(self, key, read):
+        """What a function makes of a row; None, without a call, if there is none."""
+        found = self.get(key)
+        return None if found is None else read(found)
+
+    def get_many_with(self, keys: list, read) -> list:
+        return [None if row is None else read(row) for row in self.get_many(keys)]
+
     def contains(self, key) -> bool:
         return self.rows.where(F.col(self.store.key) == F.lit(key)).limit(1).count() > 0
 
@@ -180,3 +188,27 @@ class Catalog:
             self.files.replace("heads.json", json.dumps(moved))
             self.files.create(f"tokens/{token or uuid.uuid4().hex}.json", json.dumps({"heads": moved, "at": time.time()}))
         return moved
+
+
+class TypedMap:
+    """A store's keys and values as Python objects, by a codec: functions from an object to a column's value and back."""
+
+    def __init__(self, store: VersionStore, value: str, encode, decode, ref: str = "main"):
+        self.store, self.value, self.encode, self.decode, self.ref = store, value, encode, decode, ref
+
+    def get(self, key):
+        row = self.store.get_many_at(self.store.head(self.ref), [key])[0]
+        return None if row is None else self.decode(row[self.value])
+
+    def put(self, key, value) -> Version:
+        return self.store.put({self.store.key: key, self.value: self.encode(value)}, self.ref)[1]
+
+    def entries(self, start=None, end=None):
+        """(key, object) in key order; rows reach the driver one partition at a time."""
+        for row in self.store.range_at(self.store.head(self.ref), start, end).toLocalIterator():
+            yield row[self.store.key], self.decode(row[self.value])
+
+    def migrate_from(self, change, ref: str | None = None) -> Version:
+        """Commit all values changed by a function of their column, as one version."""
+        rows = self.store.snapshot(self.store.head(ref or self.ref))
+        return self.store.commit(rows.withColumn(self.value, change(F.col(self.value))), self.ref)[1]

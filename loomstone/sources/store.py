@@ -257,6 +257,12 @@ class VersionStore:
 
     # changes
 
+    def initialize(self, schema: str | StructType, ref: str = "main") -> Version:
+        """A ref's first version, without rows."""
+        version = self.write(self.spark.createDataFrame([], schema))
+        self.compare_and_swap(ref, None, version.id)
+        return version
+
     def commit(self, rows: DataFrame, ref: str = "main", expected: str | None | bool = True) -> tuple[str, Version]:
         """('applied' or 'unchanged', version) of a whole new state. ``expected`` is the version that it was made on."""
         at = self.head(ref) if expected is True else expected
