@@ -19,6 +19,7 @@ are kept, but for those named like a result, which it replaces.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ SWITCH_PENALTY = 6.0
 SCRIPT_SHARE = 0.01
 UNDETERMINED = "und"
 PART_BYTES = 1 << 20
+LONE_TEXTS, MOST_ALONE_LANGS = 16, 64
 RESULTS = ("lang_pred", "lang_score", "lang_spans")
 
 LETTER = np.zeros(256, bool)
@@ -183,17 +185,50 @@ def scored_words(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) ->
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def viterbi_alone(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
+    """The same for the words of one text; what is kept of each word is the best label before it and which labels stay."""
+    best, tops, stays = None, bytearray(), array("Q")
+    langs = range(scores.shape[1])
+    for at in range(0, len(scores), 1 << 16):
+        for own in scores[at : at + (1 << 16)].astype(np.float64).tolist():
+            if best is None:
+                best = own
+                continue
+            most = max(best)
+            top, switched, kept = best.index(most), most - penalty, 0
+            for x in langs:
+                if best[x] >= switched:
+                    kept |= 1 << x
+                    own[x] += best[x]
+                else:
+                    own[x] += switched
+            tops.append(top)
+            stays.append(kept)
+            best = own
+    label = best.index(max(best))
+    labels = bytearray([label])
+    for top, kept in zip(reversed(tops), reversed(stays), strict=True):
+        label = label if kept >> label & 1 else top
+        labels.append(label)
+    return np.frombuffer(bytes(labels), np.uint8)[::-1].astype(np.int16)
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """Best label of every word, for many texts at once.
 
-    Text t has the words first[t] .. first[t + 1]. Texts advance side by side,
-    longest first, so step k handles the k-th word of all texts that have one.
+    Text t has the words first[t] .. first[t + 1]. The few longest texts go one by
+    one; the others advance side by side, so step k handles the k-th word of all
+    of them that have one.
     """
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
-    begin, lengths = first[:-1][order], lengths[order]
     labels, back = np.zeros(len(scores), np.int16), np.zeros(scores.shape, np.int16)
-    if not len(scores):
+    if 0 < scores.shape[1] <= MOST_ALONE_LANGS:
+        for t in order[:LONE_TEXTS][lengths[order[:LONE_TEXTS]] > 0]:
+            labels[first[t] : first[t + 1]] = viterbi_alone(scores[first[t] : first[t + 1]], penalty)
+        order = order[LONE_TEXTS:]
+    begin, lengths = first[:-1][order], lengths[order]
+    if not lengths.sum():
         return labels
     width = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
     best = scores[begin[: width[0]]].astype(np.float64)

@@ -102,9 +102,11 @@ def test_token_counts(docs, no_docs, rows):
     assert token_counts.token_counts(no_docs).collect() == []
 
 
-def test_viterbi_against_every_path():
+@pytest.mark.parametrize("alone", [0, 1, 16])
+def test_viterbi_against_every_path(monkeypatch, alone):
     from itertools import product
 
+    monkeypatch.setattr(langid, "LONE_TEXTS", alone)
     rng = np.random.default_rng(5)
     scores = rng.normal(size=(11, 3))
     first = np.array([0, 4, 4, 5, 11])
@@ -115,6 +117,15 @@ def test_viterbi_against_every_path():
         assert value(got[a:b].tolist()) == pytest.approx(best)
 
 
+def test_viterbi_side_by_side_and_one_by_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    first = np.concatenate(([0], np.cumsum(rng.integers(0, 60, 50))))
+    scores = np.round(rng.normal(size=(int(first[-1]), 4)) * 3).astype(np.float32)
+    together = langid.viterbi(scores, first)
+    monkeypatch.setattr(langid, "LONE_TEXTS", 0)
+    assert langid.viterbi(scores, first).tolist() == together.tolist(), "ties included"
+
+
 def test_language_id(docs, no_docs, rows):
     found = {r["doc_id"]: r for r in langid.predictions(docs).collect()}
     for r in rows:
