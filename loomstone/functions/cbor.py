@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.workers import reachable
+
 
 def _head(major: int, n: int) -> bytes:
     for code, size, limit in ((24, "B", 1 << 8), (25, "H", 1 << 16), (26, "I", 1 << 32), (27, "Q", 1 << 64)):
@@ -84,6 +86,7 @@ def _read(data: bytes, at: int) -> tuple[Any, int]:
 
 def encode_json_as_cbor(value: Column) -> Column:
     """JSON text as CBOR bytes."""
+    reachable()
     import json
 
     @F.pandas_udf("binary")
@@ -95,6 +98,7 @@ def encode_json_as_cbor(value: Column) -> Column:
 
 def decode_cbor_as_json(value: Column) -> Column:
     """CBOR bytes as JSON text, for ``from_json``; byte strings aren't JSON and are an error."""
+    reachable()
     import json
 
     @F.pandas_udf("string")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.workers import reachable
+
 DIGITS, LEAST, MOST = 38, -130, 125
 EXACT = Context(prec=DIGITS, traps=[Inexact, InvalidOperation])
 
@@ -41,6 +43,8 @@ def ordered_bytes(number: Decimal) -> bytes:
 
 def _binary(function: Callable[[Decimal, Decimal], object], kind: str) -> Callable[[Column, Column], Column]:
     def apply(a: Column, b: Column) -> Column:
+        reachable()
+
         @F.pandas_udf(kind)
         def run(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([None if p is None or q is None else function(parse(p), parse(q)) for p, q in zip(x, y, strict=True)])
@@ -57,6 +61,7 @@ compare = _binary(lambda x, y: (x > y) - (x < y), "int")
 
 def sort_key(value: Column) -> Column:
     """Sort key of a number in text form."""
+    reachable()
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:

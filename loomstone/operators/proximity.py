@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.workers import reachable
+
 METRICS = ("l2", "cosine", "inner_product")
 EXACT_FLOOR, EXACT_SHARE = 4096, 0.01
 QUANTILE_ACCURACY = 10_000
@@ -215,6 +217,7 @@ def build_graph(vectors: DataFrame, key: str, vec: str, shards: int | None = Non
     and to one drawn by hash, so that a walk reaches all parts. Shards are dealt
     by hash of the key, so the graph depends on the rows only.
     """
+    reachable(vectors.sparkSession)
     n = shards or max(1, -(-vectors.count() // SHARD_ROWS))
     placed = vectors.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("shard"), F.col(key).alias("key"), F.col(vec).alias("vec"))
 
@@ -284,6 +287,7 @@ def nearest_in_graph(graph: DataFrame, query: list[float], k: int, ef: int = 64,
         found = sorted((-d, keys[i]) for d, i in kept)[:k]
         return pd.DataFrame({"key": [x for _, x in found], "distance": [d for d, _ in found]})
 
+    reachable(graph.sparkSession)
     kind = dict(graph.dtypes)["key"]
     found = graph.groupBy("shard").applyInPandas(walk, f"key {kind}, distance double")
     return found.orderBy("distance", "key").limit(k)

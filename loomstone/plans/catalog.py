@@ -11,6 +11,7 @@ from loomstone.functions import conditions, keys, values
 from loomstone.operators import diff, history, index, integrity, merge, mutate, objects, proximity, scan, views
 from loomstone.plans.fixtures import base_version, left_version, right_version, table
 from loomstone.staging import staged
+from loomstone.workers import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -763,7 +764,7 @@ def queries() -> dict[str, Query]:
     """All queries by name."""
     from loomstone.plans import surfaces  # noqa: F401  registers its own
 
-    return dict(QUERIES)
+    return {name: (lambda spark, sf_dir, run=run: run(reachable(spark), sf_dir)) for name, run in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.workers import reachable
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 BATCH_ROWS = 1000
 
@@ -90,7 +92,7 @@ def read_dbapi(spark: SparkSession, connect: Callable[[], Any], table: str, key:
                 finally:
                     connection.close()
 
-    return spark.range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(run, kinds)
+    return reachable(spark).range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(run, kinds)
 
 
 def write_dbapi(rows: DataFrame, connect: Callable[[], Any], table: str, key: str, mark: str = "?", tasks: int = 1) -> int:
@@ -110,6 +112,7 @@ def write_dbapi(rows: DataFrame, connect: Callable[[], Any], table: str, key: st
             connection.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    reachable(rows.sparkSession)
     return rows.coalesce(tasks).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
@@ -139,6 +142,7 @@ def put_pairs(rows: DataFrame, adapter: Adapter, tasks: int = 1) -> int:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     pairs = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    reachable(rows.sparkSession)
     return pairs.coalesce(tasks).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
@@ -153,6 +157,7 @@ def get_pairs(keys: DataFrame, adapter: Adapter) -> DataFrame:
         adapter.close(connection)
 
     probes = keys.select(F.col("ordinal").cast("long").alias("ordinal"), F.col("key").cast("binary").alias("key"))
+    reachable(keys.sparkSession)
     return probes.mapInArrow(run, "ordinal long, key binary, value binary").orderBy("ordinal")
 
 
@@ -174,7 +179,7 @@ def scan_pairs(spark: SparkSession, adapter: Adapter, bounds: list[bytes] = ())
                     yield _pairs(rows)
         adapter.close(connection)
 
-    return spark.range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(run, "key binary, value binary")
+    return reachable(spark).range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(run, "key binary, value binary")
 
 
 def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:

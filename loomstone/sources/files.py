@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from loomstone.workers import reachable
+
 LEASE_SECONDS = 60.0
 
 
@@ -170,6 +172,7 @@ def copy_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     tasks = min(len(pairs), spark.sparkContext.defaultParallelism)
+    reachable(spark)
     listed = spark.createDataFrame(pairs, "source string, target string").repartition(tasks)
     return listed.mapInArrow(run, "n long").groupBy().sum("n").first()[0]
 
