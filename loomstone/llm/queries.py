@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import compression_quality, decontam, langid, license_scan, minhash, mixing, quality_rules, sstable, suffix_dedup, token_counts
+from loomstone.workers import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +35,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and bound the batches that they get by bytes, unless the session does."""
     if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT).rstrip("b") == ARROW_DEFAULT:
         spark.conf.set(ARROW_BYTES, ARROW_BOUND)
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-    return spark
+    return reachable(spark)
 
 
 def queries() -> dict[str, Query]:
