@@ -46,7 +46,6 @@ SPAN = LENGTH - ANCHOR + 1
 BATCH = 512 << 10
 PLACE_BITS = 24
 BUCKET_BYTES = 512 << 10
-BROADCAST_BYTES = 32 << 20
 MOST_CONTEXTS = 12_000
 BYTE_VALUE = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -203,7 +202,7 @@ def repeated_spans(texts: DataFrame) -> Staged:
     marked = found.join(again.df, "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
     marks = Staged(marked, "anchor-places")
     again.drop()
-    with_marks = long.join(if_small(marks, BROADCAST_BYTES), ["doc", "key"]).select("doc", "key", "text", "firsts")
+    with_marks = long.join(marks.df, ["doc", "key"]).select("doc", "key", "text", "firsts")
     schema = "anchor long, doc long, key long, start long, windows int, digest binary, context binary"
     contexts = Staged(with_marks.mapInArrow(_context_batches, schema), "contexts")
     marks.drop()
@@ -268,5 +267,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = narrow.groupBy("key", "key_b").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = Staged(narrow.join(first, ["key", "key_b"]).where(F.col("doc") > F.col("least")).select("doc", "key").distinct(), "copies")
     spans = repeated_spans(keyed.join(if_small(copies), ["doc", "key"], "left_anti").select("doc", "key", "text"))
-    rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(if_small(spans, BROADCAST_BYTES), ["doc", "key"], "left")
+    rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(spans.df, ["doc", "key"], "left")
     return rows.select("doc_id", "text", "spans", "copy").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
