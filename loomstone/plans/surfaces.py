@@ -6,6 +6,8 @@ result back through the surface that it shows.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from loomstone import inspect as inspection
@@ -1275,13 +1277,19 @@ def event_log(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 50, 'FIFTY'")
 def sqlite_table(spark, sf_dir):
     """A table written to and read from SQLite over DB-API, by key ranges."""
-    path = fresh_path(spark, "table").removeprefix("file://").replace("/loomstone/", "/") + ".db"
-    connect = _sqlite(path, "CREATE TABLE IF NOT EXISTS nations (n_nationkey INTEGER PRIMARY KEY, n_name TEXT)")
+    connect = _sqlite(_database_file(spark), "CREATE TABLE IF NOT EXISTS nations (n_nationkey INTEGER PRIMARY KEY, n_name TEXT)")
     connectors.write_dbapi(table(spark, sf_dir, "nation").where("n_nationkey <> 3").select("n_nationkey", "n_name"), connect, "nations", "n_nationkey")
     connectors.write_dbapi(spark.createDataFrame([(50, "FIFTY")], "n_nationkey long, n_name string"), connect, "nations", "n_nationkey")
     return connectors.read_dbapi(spark, connect, "nations", "n_nationkey", "n_nationkey long, n_name string", [10, 20])
 
 
+def _database_file(spark) -> str:
+    """A place for a SQLite file, which workers reach on a shared POSIX file system."""
+    folder = fresh_path(spark, "sqlite").removeprefix("file://")
+    os.makedirs(folder)
+    return f"{folder}/one.db"
+
+
 def _sqlite(path: str, statement: str):
     def connect():
         import sqlite3
@@ -1296,7 +1304,7 @@ def _sqlite(path: str, statement: str):
 @query("SELECT n_name AS key, n_nationkey::VARCHAR AS value FROM nation WHERE n_nationkey % 4 <> 0")
 def key_value_store(spark, sf_dir):
     """Pairs put into a key-value store, some deleted, and scanned by key ranges."""
-    adapter = connectors.sqlite_adapter(fresh_path(spark, "pairs").removeprefix("file://").replace("/loomstone/", "/") + ".db")
+    adapter = connectors.sqlite_adapter(_database_file(spark))
     pairs = table(spark, sf_dir, "nation").select(F.col("n_name").cast("binary").alias("key"), F.col("n_nationkey").cast("string").cast("binary").alias("value"), "n_nationkey")
     connectors.put_pairs(pairs, adapter)
     connectors.put_pairs(pairs.where("n_nationkey % 4 = 0").select("key", F.lit(None).cast("binary").alias("value")), adapter)
@@ -1318,7 +1326,7 @@ def file_formats(spark, sf_dir):
 @query("SELECT i::BIGINT AS ordinal, n_nationkey::VARCHAR AS value FROM (VALUES (0, 'FRANCE'), (1, 'nowhere'), (2, 'JAPAN'), (3, 'FRANCE')) t(i, name) LEFT JOIN nation ON n_name = name")
 def key_value_get(spark, sf_dir):
     """Pairs fetched in the order asked for, repeats kept, null where a key is missing."""
-    adapter = connectors.sqlite_adapter(fresh_path(spark, "pairs").removeprefix("file://").replace("/loomstone/", "/") + ".db")
+    adapter = connectors.sqlite_adapter(_database_file(spark))
     connectors.put_pairs(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")), adapter)
     probes = spark.createDataFrame(list(enumerate(["FRANCE", "nowhere", "JAPAN", "FRANCE"])), "ordinal long, key string")
     return connectors.get_pairs(probes, adapter).select("ordinal", F.col("value").cast("string").alias("value"))
