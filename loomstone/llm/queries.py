@@ -62,6 +62,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
         "op1_quality_rules": quality_rules.sql(),
+        "op5_suffix_dedup": suffix_dedup.SQL,
         "op6_decontamination": decontam.SQL,
         "op7_source_mix": mixing.SQL,
         "op8_near_duplicates": minhash.SQL,

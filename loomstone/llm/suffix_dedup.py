@@ -269,3 +269,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(keyed.join(if_small(copies), ["doc", "key"], "left_anti").select("doc", "key", "text"))
     rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(spans.df, ["doc", "key"], "left")
     return rows.select("doc_id", "text", "spans", "copy").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+# Texts as hexadecimal digits, so that places count bytes. Windows are compared whole.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS g FROM (
+    SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS b FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+k AS (SELECT e.doc_id, e.a, e.b, substr(h, 2 * coalesce(lag(e.b) OVER o, 0) + 1, 2 * (e.a - coalesce(lag(e.b) OVER o, 0))) AS piece
+    FROM e JOIN d ON d.doc_id = e.doc_id WINDOW o AS (PARTITION BY e.doc_id ORDER BY e.a, e.b NULLS LAST))
+SELECT d.doc_id, any_value(length(h) // 2)::BIGINT AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(b)::BIGINT AS n_spans,
+    sha256(unhex(string_agg(piece, '' ORDER BY a, b NULLS LAST))) AS kept_sha256
+FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
