@@ -115,6 +115,18 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "doc", "key", "first"])
 
 
+def _anchor_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors alone, for counting."""
+    for batch in bounded(batches, most=BATCH):
+        for data, offsets, _, _ in _parts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets)[0].view(np.int64))], names=["anchor"])
+
+
+def _hashed(unique: DataFrame) -> DataFrame:
+    """The side of a join whose keys are unique, to be hashed in each partition, so that the other side needs no sorting."""
+    return unique.hint("shuffle_hash")
+
+
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, most=BATCH):
         ids, keys = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
@@ -198,24 +210,25 @@ def repeated_spans(texts: DataFrame) -> Staged:
     """Spans (doc, key, from, to) of bytes that repeat earlier ones; ``texts`` has distinct texts as (doc, key, text)."""
     long = texts.where(F.octet_length("text") >= LENGTH)
     found = long.mapInArrow(_anchor_batches, "anchor long, doc long, key long, first int")
-    again = Staged(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    marked = found.join(again.df, "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
+    values = long.select("text").mapInArrow(_anchor_values, "anchor long")
+    again = Staged(values.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    marked = found.join(_hashed(again.df), "anchor", "left_semi").groupBy("doc", "key").agg(F.collect_list("first").alias("firsts"))
     marks = Staged(marked, "anchor-places")
     again.drop()
-    with_marks = long.join(marks.df, ["doc", "key"]).select("doc", "key", "text", "firsts")
+    with_marks = long.join(_hashed(marks.df), ["doc", "key"]).select("doc", "key", "text", "firsts")
     schema = "anchor long, doc long, key long, start long, windows int, digest binary, context binary"
     contexts = Staged(with_marks.mapInArrow(_context_batches, schema), "contexts")
     marks.drop()
     place = F.struct("doc", "key", "start")
     grouped = contexts.df.groupBy("digest").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     firsts = Staged(grouped, "first-contexts")
-    copies = contexts.df.join(firsts.df.where("n > 1"), "digest").where(place > F.col("least"))
+    copies = contexts.df.join(_hashed(firsts.df.where("n > 1")), "digest").where(place > F.col("least"))
     copied = copies.select("doc", "key", F.col("start").alias("from"), (F.col("start") + F.col("windows") - 1 + LENGTH).alias("to"))
-    distinct = contexts.df.join(firsts.df, "digest").where(place == F.col("least")).drop("least", "n", "digest")
+    distinct = contexts.df.join(_hashed(firsts.df), "digest").where(place == F.col("least")).drop("least", "n", "digest")
     distinct = Staged(distinct.dropDuplicates(["anchor", "doc", "key", "start"]), "distinct-contexts")
     per_anchor = distinct.df.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("context")).alias("bytes")).where("n > 1")
     per_anchor = Staged(per_anchor, "shared-anchors")
-    facing = distinct.df.join(per_anchor.df, "anchor")
+    facing = distinct.df.join(_hashed(per_anchor.df), "anchor")
     total = per_anchor.df.where(F.col("n") <= MOST_CONTEXTS).agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
     small = facing.where(F.col("n") <= MOST_CONTEXTS).withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
@@ -267,7 +280,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = narrow.groupBy("key", "key_b").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = Staged(narrow.join(first, ["key", "key_b"]).where(F.col("doc") > F.col("least")).select("doc", "key").distinct(), "copies")
     spans = repeated_spans(keyed.join(if_small(copies), ["doc", "key"], "left_anti").select("doc", "key", "text"))
-    rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(spans.df, ["doc", "key"], "left")
+    rows = keyed.join(if_small(copies).withColumn("copy", F.lit(True)), ["doc", "key"], "left").join(_hashed(spans.df), ["doc", "key"], "left")
     return rows.select("doc_id", "text", "spans", "copy").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
