@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomstone.workers import reachable
 
@@ -11,6 +14,9 @@ METRICS = ("l2", "cosine", "inner_product")
 EXACT_FLOOR, EXACT_SHARE = 4096, 0.01
 QUANTILE_ACCURACY = 10_000
 QUERY_BLOCK = 256
+BLOCK_ROWS, BLOCK_NUMBERS, GROUPS_PER_CORE, MOST_TASKS = 512, 1 << 19, 16, 4096
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 16
+SAFE_LEAST, SAFE_MOST = 1e-280, 1e300
 
 
 def _fold(pairs: Column) -> Column:
@@ -74,22 +80,143 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 
 
 def nearest_for_each(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest rows of every query: (query, key, distance, rank).
+    """The k nearest rows of every query: (query, key, distance, rank), ties by key; pairs without a distance come last.
 
-    ``queries`` has (query, target) and may be of any size: it is packed into
-    blocks of at most ``QUERY_BLOCK`` queries, each vector meets each block, and
-    tasks keep k rows per query before anything is shuffled. Whether the blocks
-    are broadcast or dealt out with the vectors is left to their measured size.
+    ``queries`` has (query, target) and may be of any size. Both sides are dealt
+    into blocks by hash and every block of vectors meets every block of queries in
+    a group of its own, so memory is bounded by two blocks and the groups spread
+    over all tasks. A group drops rows that a matrix product, with a bound on its
+    rounding, shows to be too far; the others get the distance of ``distance``.
     """
-    scored = vectors.crossJoin(query_blocks(queries)).select(
-        key, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), distance(metric, F.col(vec), q["target"]).alias("distance"))))
-    )
-    near = Window.partitionBy("query", "part").orderBy("distance", key)
-    local = scored.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
-    best = Window.partitionBy("query").orderBy("distance", key)
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    spark = reachable(vectors.sparkSession)
+    n_vectors, width = vectors.agg(F.count("*"), F.max(F.size(vec))).first()
+    n_queries = queries.count()
+    most = max(1, BLOCK_NUMBERS // max(width or 1, 1))
+    rows = min(most, max(BLOCK_ROWS, math.isqrt(n_vectors * n_queries // (GROUPS_PER_CORE * spark.sparkContext.defaultParallelism))))
+    wide, deep = max(1, -(-n_vectors // rows)), max(1, -(-n_queries // rows))
+
+    def dealt(side: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(*side.columns), F.lit(n_own)).cast("int")
+        met = side.select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        return met.repartition(min(wide * deep, MOST_TASKS), "v_block", "q_block").groupBy("v_block", "q_block")
+
+    left = dealt(vectors.select(F.col(key).alias("key"), F.col(vec).alias("vec")), "v_block", wide, "q_block", deep)
+    right = dealt(queries.select("query", "target"), "q_block", deep, "v_block", wide)
+    schema = StructType([StructField("query", queries.schema["query"].dataType), StructField(key, vectors.schema[key].dataType), StructField("distance", DoubleType())])
+    local = left.cogroup(right).applyInArrow(lambda a, b: block_nearest(a, b, k, metric).rename_columns(["query", key, "distance"]), schema)
+    best = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key)
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", key, "distance", "rank")
 
 
+def _numbers(column):
+    """Lists of numbers as (lengths, first places, all numbers); the length is -1 where the list or one of its numbers is null."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    lengths = np.where(known, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    starts, flat = np.concatenate([[0], np.cumsum(lengths)]), column.flatten()
+    nulls = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    whole = known & (nulls[starts[1:]] == nulls[starts[:-1]])
+    return np.where(whole, lengths, -1), starts[:-1], flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _pair_distances(metric: str, a, b):
+    """Distances of the columns of two matrices, summed left to right as ``distance`` does."""
+    import numpy as np
+
+    def fold(x, y):
+        total = np.zeros(x.shape[1])
+        for p, q in zip(x, y, strict=True):
+            total += (p - q) * (p - q) if metric == "l2" else p * q
+        return total
+
+    if metric == "cosine":
+        norms = np.sqrt(fold(a, a)) * np.sqrt(fold(b, b))
+        return 1.0 - np.clip(fold(a, b) / norms, -1.0, 1.0) + 0.0
+    return (fold(a, b) if metric == "l2" else -fold(a, b)) + 0.0
+
+
+def block_nearest(vectors, queries, k: int, metric: str):
+    """(query, key, distance) of the k nearest in one block of (key, vec) for each of a block of (query, target), as Arrow tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = vectors.sort_by("key")
+    (v_length, v_start, v_flat), (q_length, q_start, q_flat) = _numbers(vectors["vec"]), _numbers(queries["target"])
+    n_found, found = np.zeros(len(q_length), np.int64), []
+    for length in np.intersect1d(v_length[v_length >= 0], q_length[q_length >= 0]):
+        v_rows, q_rows = np.flatnonzero(v_length == length), np.flatnonzero(q_length == length)
+        places = np.arange(length)
+        points, targets = (flat[start[rows][:, None] + places] + 0.0 for flat, start, rows in ((v_flat, v_start, v_rows), (q_flat, q_start, q_rows)))
+        # equal vectors count once, with their k least keys
+        same: dict[bytes, list[int]] = {}
+        for at, point in enumerate(points):
+            same.setdefault(point.tobytes(), []).append(at)
+        members = [held[:k] for held in same.values()]
+        points, counts = points[[held[0] for held in members]], np.array([len(held) for held in members])
+        rows_of, first = v_rows[np.concatenate(members)], np.concatenate([[0], np.cumsum(counts)[:-1]])
+        with np.errstate(all="ignore"):
+            for qi, vi, far in _closest(points, targets, k, metric):
+                many = counts[vi]
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, query, far = rows_of[np.repeat(first[vi], many) + within], np.repeat(qi, many), np.repeat(far, many)
+                order = np.lexsort((row, far, query))
+                row, query, far = row[order], query[order], far[order]
+                kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+                found.append((q_rows[query[kept]], row[kept], far[kept], np.ones(kept.sum(), bool)))
+                n_found[q_rows] += np.bincount(query[kept], minlength=len(q_rows))
+    for at in np.flatnonzero(n_found < min(k, len(v_length))):
+        apart = np.flatnonzero((v_length != q_length[at]) | (v_length < 0))[: k - n_found[at]]
+        found.append((np.full(len(apart), at), apart, np.zeros(len(apart)), np.zeros(len(apart), bool)))
+    query, row, far, known = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, bool))
+    return pa.table({"query": queries["query"].take(pa.array(query)), "key": vectors["key"].take(pa.array(row)), "distance": pa.array(far, pa.float64(), mask=~known)})
+
+
+def _closest(points, targets, k: int, metric: str):
+    """(query, point, distance) of all points that may be among the k nearest, for some queries at a time."""
+    import numpy as np
+
+    squares, q_squares = (points * points).sum(1), (targets * targets).sum(1)
+    if metric == "cosine":
+        if (points == 0).all(1).any() or (targets == 0).all(1).any():
+            raise ValueError("a zero vector has no direction")
+        points_, targets_ = points / np.sqrt(squares)[:, None], targets / np.sqrt(q_squares)[:, None]
+        largest, q_largest, odd, q_odd = 1.0, np.ones(len(targets)), ~np.isfinite(points_).all(1), ~np.isfinite(targets_).all(1)
+        # squares that underflow or overflow make the quotients inexact
+        odd |= ~((squares > SAFE_LEAST) & (squares < SAFE_MOST))
+        q_odd |= ~((q_squares > SAFE_LEAST) & (q_squares < SAFE_MOST))
+    else:
+        points_, targets_, odd, q_odd = points, targets, ~(squares < SAFE_MOST), ~(q_squares < SAFE_MOST)
+        largest, q_largest = np.sqrt(squares[~odd].max(initial=0.0)), np.sqrt(q_squares)
+    slack = (points.shape[1] + 16) * 4 * np.finfo(float).eps
+    even, columns, q_columns = np.flatnonzero(~odd), np.ascontiguousarray(points.T), np.ascontiguousarray(targets.T)
+    near, n = points_[even], min(k, len(even))
+    for at in range(0, len(targets), QUERIES_AT_ONCE):
+        part = slice(at, at + QUERIES_AT_ONCE)
+        rough = near @ targets_[part].T
+        rough = (squares[even][:, None] - 2.0 * rough if metric == "l2" else -rough).T
+        may = np.ones((len(rough), len(points)), bool)
+        if n:
+            scale = largest + q_largest[part]
+            bound = np.partition(rough, n - 1, axis=1)[:, n - 1] + slack * scale * scale + np.finfo(float).tiny
+            may[:, even] = ~(rough > bound[:, None])
+        may[q_odd[part]] = True
+        qi, vi = np.nonzero(may)
+        # whole queries at a time, so that their k nearest are judged together
+        ends = np.searchsorted(qi, np.arange(len(rough)), side="right")
+        begin = 0
+        while begin < len(qi):
+            end = max(int(ends[qi[begin]]), int(ends[ends <= begin + PAIRS_AT_ONCE].max(initial=0)))
+            q, v = qi[begin:end], vi[begin:end]
+            steps = [slice(i, i + PAIRS_AT_ONCE) for i in range(0, end - begin, PAIRS_AT_ONCE)]
+            yield q + at, v, np.concatenate([_pair_distances(metric, columns[:, v[i]], q_columns[:, at + q[i]]) for i in steps])
+            begin = end
+
+
 def choose_backend(n_rows: int, n_eligible: int | None, k: int, accelerators: tuple[str, ...] = (), exact: bool = False) -> str:
     """Exact over a short key list, else native if exactness is asked for, else the first accelerator; ``VectorMap.search`` runs the choice."""
     if n_eligible is not None and n_eligible <= max(k, min(EXACT_FLOOR, -(-n_rows * EXACT_SHARE // 1))):
