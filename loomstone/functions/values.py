@@ -94,5 +94,7 @@ def reclaimable_blobs(blobs: DataFrame, *kept: DataFrame) -> DataFrame:
 
 
 def join_large(refs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Keys with their values, wherever those are kept."""
-    return refs.join(blobs, "cid", "left").select("key", F.coalesce("inline", "payload").alias("value"))
+    """Keys with their values, wherever those are kept; only references to blobs are joined, inline values stay where they lie."""
+    inline = refs.where(F.col("cid").isNull()).select("key", F.col("inline").alias("value"))
+    large = refs.where(F.col("cid").isNotNull()).join(blobs, "cid", "left").select("key", F.coalesce("inline", "payload").alias("value"))
+    return inline.unionByName(large)
