@@ -312,9 +312,16 @@ class VersionStore:
         return "applied", version, stats
 
     def _segment_of(self, version: Version, kind: str) -> Column:
-        """The number of the segment that a key belongs to: the last whose least key isn't above it, else the first."""
-        lows = F.array(*[self._literal(s.low, kind) for s in version.segments[1:]]) if len(version.segments) > 1 else F.array().cast(f"array<{kind}>")
-        return F.size(F.filter(lows, lambda low: low <= F.col(self.key)))
+        """The number of the segment that a key belongs to: the last whose least key isn't above it, else the first.
+
+        A binary search, so a row costs the logarithm of the number of segments.
+        """
+        if len(version.segments) < 2:
+            return F.lit(0)
+        lows = F.array(*[self._literal(s.low, kind) for s in version.segments[1:]])
+        steps = [1 << k for k in reversed(range((len(version.segments) - 1).bit_length()))]
+        further = lambda at, step: F.when(F.get(lows, at + step - 1) <= F.col(self.key), at + step).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
     def changes_of(self, version_id: str) -> DataFrame | None:
         """The changes that were kept with a version; its parent with them gives it again."""
