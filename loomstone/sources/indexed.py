@@ -24,6 +24,7 @@ from loomstone.operators import index as entries
 from loomstone.operators.scan import in_range
 from loomstone.sources.files import Files
 from loomstone.sources.store import StaleRef, Version, VersionStore
+from loomstone.staging import Staged, if_small
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
@@ -198,8 +199,8 @@ class IndexedStore:
         if version.id == heads["source"]:
             return heads
         before, after = self.source.differing(heads["source"], version.id)
-        touched = changes.select(self.source.key).distinct()
-        old, new = (rows.join(F.broadcast(touched), self.source.key, "left_semi") for rows in (before, after))
+        touched = Staged(changes.select(self.source.key).distinct(), "touched")
+        old, new = (rows.join(if_small(touched), self.source.key, "left_semi") for rows in (before, after))
         moved = {}
         for name, definition in self.definitions().items():
             store, at = self.index_store(name), heads["indexes"].get(name)
@@ -207,12 +208,25 @@ class IndexedStore:
                 moved[name] = store.write(self.entries_of(self.source.snapshot(version.id), definition)).id
                 continue
             gone, come = self.entries_of(old, definition), self.entries_of(new, definition)
-            deletes = gone.join(come.select("entry"), "entry", "left_anti").withColumn("op", F.lit("delete"))
+            changed = Staged(self._entry_changes(gone, come), "entries")
             store.files.replace("refs/work.json", json.dumps({"version": at}))
-            moved[name] = store.apply(deletes.unionByName(come.withColumn("op", F.lit("upsert"))), "work", at)[1].id
+            moved[name] = store.apply(changed.df, "work", at)[1].id
+            changed.drop()
+        touched.drop()
         self._move(branch, heads, {"source": version.id, "indexes": moved})
         return self.heads(branch)
 
+    @staticmethod
+    def _entry_changes(gone: DataFrame, come: DataFrame) -> DataFrame:
+        """Entries to delete and to upsert; one that stays as it was is neither, unless it holds a map, which has no equality."""
+        columns = [c for c in come.columns if c != "entry"]
+        was, now = gone.select("entry", F.struct(*columns).alias("_was")), come.select("entry", F.struct(*columns).alias("_now"))
+        met = was.join(now, "entry", "full_outer")
+        if not any("map<" in kind or "variant" in kind for _, kind in come.dtypes):
+            met = met.where(~F.col("_was").eqNullSafe(F.col("_now")))
+        row = F.coalesce("_now", "_was")
+        return met.select("entry", *[row[c].alias(c) for c in columns], F.when(F.col("_now").isNull(), "delete").otherwise("upsert").alias("op"))
+
     def put(self, row: dict[str, Any], branch: str = "main", expected: str | None = None) -> dict:
         return self.apply(self.source._single(row, "upsert", self.heads(branch)["source"]), branch, expected)
 
